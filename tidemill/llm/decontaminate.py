@@ -58,7 +58,8 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, k: int = 5, threshold
     items = stored(shingled(benchmark.where(F.col("item_id").isNotNull()), "item_id", k), "items")
     docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     sized = shingled(docs, "doc_id", k).select("doc_id", F.size("h").alias("size"), "h")  # before the explosion, whose rows would each carry the array
-    probes = sized.select("doc_id", "size", F.explode("h").alias("h"))
+    # An inner explosion would infer a filter on the array's size, and push its whole computation down into the scan.
+    probes = sized.select("doc_id", "size", F.explode_outer("h").alias("h"))
     sketches = item_sketches(items, threshold)
     found = probes.join(small(sketches), "h").where(F.col("size") >= F.col("least"))
     candidates = stored(found.select("doc_id", "item_id").distinct(), "candidates")
