@@ -56,7 +56,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of df's size, which for a plain scan is the size of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def parts(df: DataFrame, each_mb: int = 16) -> int:
