@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, near_dup, sharding, substring_dedup
+from . import chat, decontaminate, language, mixing, near_dup, sharding, substring_dedup, warc
 from .base import scratch, table
 
 
@@ -27,6 +27,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), scratch(spark, "slot-map"))
 
@@ -35,6 +40,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -42,7 +51,8 @@ def op10_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_substring_dedup, op3_chat_prefix, op5_decontaminate, op7_virtual_slots, op8_mix_sources, op10_minhash_bayes,
+        op1_substring_dedup, op3_chat_prefix, op5_decontaminate, op6_language_id, op7_virtual_slots,
+        op8_mix_sources, op9_warc_index, op10_minhash_bayes,
     )
 }
 
@@ -61,6 +71,13 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(len(g.gone),
   sha256(coalesce(k.kept, '')) AS kept_sha256,
   CAST(coalesce(list_aggregate(list_transform(g.gone, lambda x: CASE WHEN list_contains(g.gone, x - 1) THEN 0 ELSE 1 END), 'sum'), 0) AS INTEGER) AS n_spans
 FROM d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN k ON d.doc_id = k.doc_id""",
+    "op9_warc_index": r"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d AND n >= 100""",
     "op10_minhash_bayes": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
