@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, mixing, near_dup, sharding, substring_dedup, warc
+from . import chat, decontaminate, language, mixing, multi_index, near_dup, sharding, substring_dedup, training_order, warc
 from .base import scratch, table
 
 
@@ -14,6 +14,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"), F.size("spans").alias("n_spans"))
 
 
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.ordered_round_trip(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.range(2).select(
@@ -23,6 +27,10 @@ def op3_chat_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.prefix_examples(rows.unionByName(own)))
 
 
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,7 +59,7 @@ def op10_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_substring_dedup, op3_chat_prefix, op5_decontaminate, op6_language_id, op7_virtual_slots,
+        op1_substring_dedup, op2_training_order, op3_chat_prefix, op4_multi_index, op5_decontaminate, op6_language_id, op7_virtual_slots,
         op8_mix_sources, op9_warc_index, op10_minhash_bayes,
     )
 }
