@@ -3,13 +3,14 @@
 1. Every document gets its number of distinct k-word shingles, a 128-bit hash of its words and a MinHash signature.
    Equal word sequences become one class, whose smallest id stands for it, so copies never meet as pairs.
 2. Signatures are cut into bands; classes that share a band's values are candidates. In each bucket every member meets
-   the member with the smallest id (a star), which links most groups with as many pairs as members.
+   the member that shares the most bands (a star), which links most groups with as many pairs as members.
 3. A pair's signatures are compared in batches. After each batch the posterior probability that the similarity reaches the
    threshold, from a uniform prior, is bounded by the matches so far, and the pair is dropped when it is below the chosen
    miss probability. Survivors are verified on their whole shingle sets.
-4. Connected components over the links. Buckets that still hold several components are then compared in full between
-   components, in square tiles of bounded size that are spread over tasks, so that no link is lost; survivors are verified
-   and components are found again over all links.
+4. Connected components over the links. Buckets that still hold several components are then compared between components,
+   in square tiles of bounded size that are spread over tasks: first each member with its likeliest partner, which joins
+   most of what belongs together, and then in full, so that no link is lost. Survivors are verified, and components are
+   found again over all links.
 """
 
 from __future__ import annotations
@@ -117,17 +118,20 @@ def prune_pairs(need):
     return run
 
 
-def prune_tile(need):
+def prune_tile(need, likeliest: bool):
     def run(table: pa.Table) -> pa.Table:
-        """Pairs of a tile between the two sides (or within the one), of different components."""
+        """Pairs of a tile between the two sides (or within the one), of different components; if likeliest, only the
+        one with the most matches for each member of the first side."""
         ids, comp, side = (table.column(c).to_numpy() for c in ("id", "comp", "side"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(-1, HASHES)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         out_x, out_y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in left:
-            others = right if len(right) else left[left > i]
+            others = right if len(right) else left if likeliest else left[left > i]
             others = others[comp[others] != comp[i]]
             good = others[survivors(np.broadcast_to(sig[i], (len(others), HASHES)), sig[others], need)]
+            if likeliest and len(good) > 1:
+                good = good[[(sig[good] == sig[i]).sum(axis=1).argmax()]]
             out_x.append(np.minimum(ids[good], ids[i]))
             out_y.append(np.maximum(ids[good], ids[i]))
         return pa.table({"x": np.concatenate(out_x), "y": np.concatenate(out_y)})
@@ -192,6 +196,28 @@ def components(links: DataFrame) -> DataFrame:
     return pairs.union(edges.select(F.col("y").alias("id"), F.col("y").alias("component")).distinct())
 
 
+def apart(shared: DataFrame, comp: DataFrame, met: DataFrame, need: dict[int, int], likeliest: bool) -> DataFrame:
+    """Unpruned pairs of a bucket's members in different components: all of what is not with the hub meets everything
+    that it is not with, tile by tile."""
+    tagged = shared.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    mains = tagged.where("id = hub").select("key", F.col("comp").alias("main")).distinct()
+    tagged = tagged.join(mains, "key").withColumn("away", F.col("comp") != F.col("main"))
+    counts = tagged.groupBy("key").agg(F.sum(F.col("away").cast("long")).alias("away_n"), F.count("*").alias("n")).where("away_n > 0")
+    tiles = lambda n: F.ceil(n / F.lit(TILE)).cast("int")
+    placed = tagged.join(counts.select("key", tiles(F.col("away_n")).alias("ta"), F.greatest(tiles(F.col("n") - F.col("away_n")), F.lit(1)).alias("tm")), "key")
+    placed = placed.withColumn("t", F.pmod(F.xxhash64("id"), F.when(F.col("away"), F.col("ta")).otherwise(F.col("tm"))).cast("int"))
+
+    def spot(kind: int, i, j, side):
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+
+    t, zero, one = F.col("t"), F.lit(0), F.lit(1)
+    among = F.transform(F.sequence(zero, F.col("ta") - 1), lambda j: spot(0, F.least(t, j), F.greatest(t, j), F.when(t <= j, 0).otherwise(1)))
+    to_main = F.transform(F.sequence(zero, F.col("tm") - 1), lambda j: spot(1, t, j, zero))
+    from_main = F.transform(F.sequence(zero, F.col("ta") - 1), lambda i: spot(1, i, t, one))
+    tile = placed.select("key", "id", "comp", F.explode(F.when(F.col("away"), F.concat(among, to_main)).otherwise(from_main)).alias("x")).select("key", "id", "comp", "x.*")
+    return tile.join(met, "id").groupBy("key", "kind", "i", "j").applyInArrow(prune_tile(need, likeliest), "x long, y long").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -210,33 +236,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     sigs = sigs.select(F.col("doc_id").alias("id"), "sig").dropDuplicates(["id", "sig"])
     sigs = stored(sigs, "signatures")
     bands = sigs.mapInArrow(banded, "id long, key long")
-    buckets = stored(bands.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("size")).where("size > 1"), "buckets")
-    shared = stored(bands.join(buckets, "key"), "shared")
+    bands = stored(bands.join(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "bands")
+    # The member that shares the most leads its buckets: in a group of edited copies that is mostly their original.
+    degree = bands.groupBy("id").agg(F.sum("size").alias("degree"))
+    ranked = stored(bands.join(degree, "id"), "ranked")
+    hubs = ranked.groupBy("key").agg(F.min(F.struct(-F.col("degree"), F.col("id").alias("hub"))).alias("x")).select("key", "x.hub")
+    shared = stored(ranked.select("key", "id").join(hubs, "key"), "shared")
     need = least_matches(percent / 100)
     met = sigs.join(small(shared.select("id").distinct()), "id", "left_semi")
-    stars = shared.where("id != hub").select(F.col("hub").alias("x"), F.col("id").alias("y")).distinct()
+    stars = shared.where("id != hub").select(F.least("hub", "id").alias("x"), F.greatest("hub", "id").alias("y")).distinct()
     pairs = stars.join(met.select(F.col("id").alias("x"), F.col("sig").alias("sig_x")), "x").join(met.select(F.col("id").alias("y"), F.col("sig").alias("sig_y")), "y")
     pairs = stored(pairs.mapInArrow(prune_pairs(need), "x long, y long"), "pairs")
     reps = docs.where(F.col("doc_id").isNotNull())
     links = stored(verified(reps, pairs, k, percent), "links")
     comp = components(links)
-    # Buckets with several components: all of what is not with the hub meets everything that it is not with.
-    tagged = shared.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    hubs = tagged.where("id = hub").select("key", F.col("comp").alias("main"))
-    open_ = tagged.join(hubs.distinct(), "key").withColumn("away", F.col("comp") != F.col("main"))
-    counts = open_.groupBy("key").agg(F.sum(F.col("away").cast("long")).alias("away_n"), F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
-    tiles = lambda n: F.ceil(n / F.lit(TILE)).cast("int")
-    placed = open_.join(counts.select("key", tiles(F.col("away_n")).alias("ta"), tiles(F.col("n") - F.col("away_n")).alias("tm")), "key")
-    placed = placed.withColumn("t", F.pmod(F.xxhash64("id"), F.when(F.col("away"), F.col("ta")).otherwise(F.greatest("tm", F.lit(1)))).cast("int"))
-    among = F.transform(F.sequence(F.lit(0), F.col("ta") - 1), lambda j: F.struct(F.lit(0).alias("kind"), F.least("t", j).alias("i"), F.greatest("t", j).alias("j"), F.when(F.col("t") <= j, 0).otherwise(1).alias("side")))
-    to_main = F.transform(F.sequence(F.lit(0), F.greatest("tm", F.lit(1)) - 1), lambda j: F.struct(F.lit(1).alias("kind"), F.col("t").alias("i"), j.alias("j"), F.lit(0).alias("side")))
-    from_main = F.transform(F.sequence(F.lit(0), F.col("ta") - 1), lambda i: F.struct(F.lit(1).alias("kind"), i.alias("i"), F.col("t").alias("j"), F.lit(1).alias("side")))
-    tile = placed.select("key", "id", "comp", F.explode(F.when(F.col("away"), F.concat(among, to_main)).otherwise(from_main)).alias("x")).select("key", "id", "comp", "x.*")
-    late = tile.join(met, "id").groupBy("key", "kind", "i", "j").applyInArrow(prune_tile(need), "x long, y long")
-    late = stored(late.distinct(), "late-pairs")
-    if late.limit(1).count():
-        links = stored(links.union(verified(reps, late, k, percent)), "links")
-        comp = components(links)
+    # First every member's likeliest partner outside its component, and then whatever still is apart.
+    for likeliest in (True, False):
+        late = stored(apart(shared, comp, met, need, likeliest), "apart")
+        if late.limit(1).count():
+            links = stored(links.union(verified(reps, late, k, percent)), "links")
+            comp = components(links)
     mapped = members.join(comp, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id"))
     # A doc_id of several classes joins them all.
     several = mapped.groupBy("doc_id").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"))
