@@ -55,8 +55,9 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of df's size, which for a plain scan is the size of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """The optimizer's estimate of df's size, which for a plain scan is the size of its files; 0 where it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
 
 
 def parts(df: DataFrame, each_mb: int = 16) -> int:
