@@ -18,13 +18,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import parts, scratch
-from .textkit import U, mix
+from .textkit import U, mix, packed, slices
 from .warc import Out, make_folder
 
 # Fixed value: the published pattern that cuts texts before byte-level BPE.
@@ -32,6 +33,7 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 RUNS = re.compile(r"\s\s|\A\s|\s\Z")
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 NO_ID = -(1 << 63)
+#: Parts of texts that a task keeps the ids of.
 CACHE = 400_000
 
 
@@ -40,39 +42,73 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class Cache(dict):
-    """The ids of a piece of text, as bytes; forgotten when there are too many."""
-
-    def __init__(self, encode, lead: str, kind):
-        super().__init__()
-        self.encode, self.lead, self.kind = encode, lead, kind
-
-    def __missing__(self, text: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = np.array(self.encode(self.lead + text), self.kind).tobytes()
-        if len(text) < 64:
-            self[text] = ids
-        return ids
-
-
 class Tokenizer:
-    """Whole texts to ids. Between single spaces the pattern always cuts, so the parts are encoded once each and kept;
-    texts with longer runs of white space are encoded as a whole."""
+    """Whole texts to ids. Between single spaces the pattern always cuts, so a column's distinct parts are encoded once each,
+    kept from call to call, and gathered; texts with longer runs of white space are encoded as a whole."""
 
     def __init__(self, ranks: dict[bytes, int]):
         import tiktoken
 
         self.end = len(ranks)
         self.kind = np.dtype("<u2") if self.end < 1 << 16 else np.dtype("<u4")
-        self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.first, self.later = Cache(self.encode, "", self.kind), Cache(self.encode, " ", self.kind)
-
-    def ids(self, text: str) -> bytes:
-        if RUNS.search(text):
-            return np.array(self.encode(text), self.kind).tobytes()
-        parts = text.split(" ")
-        return self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
+        self.coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.n_bytes = np.zeros(self.end, np.int64)
+        self.n_bytes[list(ranks.values())] = [len(x) for x in ranks]
+        self.forget()
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.coder.encode_to_numpy(text).astype(self.kind)
+
+    def forget(self) -> None:
+        """Drop the kept parts. Part i has the ids known[at[i]:at[i + 1]]; odd ones have none, their texts go whole."""
+        self.number: dict[str, int] = {}
+        self.known, self.at, self.odd = np.zeros(0, self.kind), np.zeros(1, np.int64), np.zeros(0, bool)
+
+    def numbers(self, texts: list[str]) -> np.ndarray:
+        """The numbers of parts; all but the first of a text come with the space before them."""
+        new = [t for t in dict.fromkeys(texts) if t not in self.number]
+        if new:
+            odd = np.array([not (part := t[t[0] == " " :] if t else t) or RUNS.search(part) is not None for t in new])
+            size = np.zeros(len(new), np.int64)
+            size[~odd] = [len(t.encode()) for t, o in zip(new, odd) if not o]
+            # Parts with their spaces are encoded as one text; no id crosses a part, so the ids' bytes tell which is whose.
+            ids = self.encode("".join(t for t, o in zip(new, odd) if not o)) if new[0][:1] == " " else np.concatenate([np.zeros(0, self.kind), *(self.encode(t) for t, o in zip(new, odd) if not o)])
+            ends = np.concatenate([[0], np.cumsum(self.n_bytes[ids])])
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            self.known = np.concatenate([self.known, ids])
+            self.at = np.concatenate([self.at, self.at[-1] + np.searchsorted(ends, np.cumsum(size))])
+            self.odd = np.concatenate([self.odd, odd])
+        return np.fromiter(map(self.number.__getitem__, texts), np.int64, len(texts))
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a column of texts as one array, and the bounds of each row in it. Null and empty texts have none."""
+        if not len(texts):
+            return np.zeros(0, self.kind), np.zeros(1, np.int64)
+        if len(self.number) > CACHE or len(self.known) > 8 * CACHE:
+            self.forget()
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        cut = pc.split_pattern(texts, " ")
+        first = cut.offsets.to_numpy()[:-1].astype(np.int64)
+        first -= first[0]
+        parts = cut.flatten().dictionary_encode()
+        words = parts.dictionary.to_pylist()
+        code = parts.indices.to_numpy()
+        number = self.numbers([f" {w}" for w in words])[code]
+        number[first] = self.numbers([words[c] for c in code[first]])
+        whole = np.logical_or.reduceat(self.odd[number], first)
+        size = self.at[number + 1] - self.at[number]
+        size[np.repeat(whole, np.diff(first, append=len(number)))] = 0
+        gathered = np.add.reduceat(size, first)
+        odd = {i: self.encode(texts[i].as_py()) for i in np.flatnonzero(whole).tolist()}
+        n = gathered.copy()
+        n[list(odd)] = [len(x) for x in odd.values()]
+        bounds = np.concatenate([[0], np.cumsum(n)])
+        out, every = np.empty(bounds[-1], self.kind), np.arange(size.sum())
+        values = self.known[every + np.repeat(self.at[number] - (np.cumsum(size) - size), size)]
+        out[every + np.repeat(bounds[:-1] - (np.cumsum(gathered) - gathered), gathered)] = values
+        for i, x in odd.items():
+            out[bounds[i] : bounds[i + 1]] = x
+        return out, bounds
 
 
 def permuted(x: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
@@ -91,45 +127,53 @@ def permuted(x: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(batches, tokenizer: Tokenizer, length: int):
-    """(doc_id, piece, n_tokens, ids) in order. A null or empty text has none."""
-    size = tokenizer.kind.itemsize
-    end = np.array([tokenizer.end], tokenizer.kind).tobytes()
+def record_kind(length: int, kind: np.dtype) -> np.dtype:
+    return np.dtype([("doc_id", "<i8"), ("piece", "<i4"), ("n_tokens", "<i4"), ("ids", kind, (length,))])
+
+
+def tokenized(batches, tokenizer: Tokenizer, length: int):
+    """By slices of the batches: doc_ids, ids, their bounds, and the number of ids, end token included, of each row. A null
+    or empty text has no id."""
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-            if text := text.as_py():
-                ids = tokenizer.ids(text) + end
-                for piece, at in enumerate(range(0, len(ids), length * size)):
-                    part = ids[at : at + length * size]
-                    yield doc_id, piece, len(part) // size, part + end * (length - len(part) // size)
+        for part in slices(batch, "text"):
+            ids, bounds = tokenizer.ids(part.column("text"))
+            there = pc.fill_null(pc.binary_length(part.column("text")), 0).to_numpy(zero_copy_only=False) > 0
+            yield part.column("doc_id"), ids, bounds, (np.diff(bounds) + 1) * there
 
 
 def counted(ranks, length):
     def run(batches):
-        n = sum(1 for _ in sequences(batches, Tokenizer(ranks), length))
+        n = sum(int((-(-size // length)).sum()) for *_, size in tokenized(batches, Tokenizer(ranks), length))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
 
     return run
 
 
+def records_of(doc_id, ids, bounds, size, length: int, tokenizer: Tokenizer) -> np.ndarray:
+    """The records of a slice in order: each row's ids and end token, cut into sequences."""
+    pieces = -(-size // length)
+    first = np.cumsum(pieces) - pieces
+    row = np.repeat(np.arange(len(size)), pieces)
+    out = np.empty(len(row), record_kind(length, tokenizer.kind))
+    out["doc_id"] = pc.fill_null(doc_id.cast(pa.int64()), NO_ID).to_numpy()[row]
+    out["piece"] = np.arange(len(row)) - first[row]
+    out["n_tokens"] = np.minimum(length, size[row] - out["piece"].astype(np.int64) * length)
+    padded = np.full(len(row) * length, tokenizer.end, tokenizer.kind)
+    padded[np.arange(len(ids)) + np.repeat(first * length - bounds[:-1], np.diff(bounds))] = ids
+    out["ids"] = padded.reshape(-1, length)
+    return out
+
+
 def slotted(ranks, length, first: dict[int, tuple[int, int]], n: int, per_shard: int, key: int):
     def run(batches):
-        start, expected = first[TaskContext.get().partitionId()]
-        at, rows = start, []
-
-        def out():
-            slot = permuted(np.arange(at - len(rows), at), n, key)
-            return pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), pa.array(rows, pa.binary())], names=["shard", "slot", "record"])
-
-        for doc_id, piece, tokens, ids in sequences(batches, Tokenizer(ranks), length):
-            rows.append(np.array([NO_ID if doc_id is None else doc_id], "<i8").tobytes() + np.array([piece, tokens], "<i4").tobytes() + ids)
-            at += 1
-            if len(rows) == 4096:
-                yield out()
-                rows = []
-        if rows:
-            yield out()
-        if at != start + expected:
+        at, expected = first[TaskContext.get().partitionId()]
+        due, tokenizer = at + expected, Tokenizer(ranks)
+        for part in tokenized(batches, tokenizer, length):
+            records = records_of(*part, length, tokenizer)
+            slot = permuted(np.arange(at, at + len(records)), n, key)
+            at += len(records)
+            yield pa.RecordBatch.from_arrays([pa.array(slot // per_shard), pa.array(slot), packed(records, np.arange(len(records) + 1))], names=["shard", "slot", "record"])
+        if at != due:
             raise RuntimeError("the input changed between counting and writing")
 
     return run
