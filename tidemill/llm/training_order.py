@@ -13,7 +13,6 @@ uint32 for vocabularies above 65536), all little-endian; ids beyond n_tokens are
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 
 import numpy as np
@@ -30,11 +29,8 @@ from .warc import Out, make_folder
 
 # Fixed value: the published pattern that cuts texts before byte-level BPE.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-RUNS = re.compile(r"\s\s|\A\s|\s\Z")
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 NO_ID = -(1 << 63)
-#: Parts of texts that a task keeps the ids of.
-CACHE = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -43,8 +39,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Tokenizer:
-    """Whole texts to ids. Between single spaces the pattern always cuts, so a column's distinct parts are encoded once each,
-    kept from call to call, and gathered; texts with longer runs of white space are encoded as a whole."""
+    """Whole texts to ids."""
 
     def __init__(self, ranks: dict[bytes, int]):
         import tiktoken
@@ -52,63 +47,14 @@ class Tokenizer:
         self.end = len(ranks)
         self.kind = np.dtype("<u2") if self.end < 1 << 16 else np.dtype("<u4")
         self.coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.n_bytes = np.zeros(self.end, np.int64)
-        self.n_bytes[list(ranks.values())] = [len(x) for x in ranks]
-        self.forget()
 
     def encode(self, text: str) -> np.ndarray:
         return self.coder.encode_to_numpy(text).astype(self.kind)
 
-    def forget(self) -> None:
-        """Drop the kept parts. Part i has the ids known[at[i]:at[i + 1]]; odd ones have none, their texts go whole."""
-        self.number: dict[str, int] = {}
-        self.known, self.at, self.odd = np.zeros(0, self.kind), np.zeros(1, np.int64), np.zeros(0, bool)
-
-    def numbers(self, texts: list[str]) -> np.ndarray:
-        """The numbers of parts; all but the first of a text come with the space before them."""
-        new = [t for t in dict.fromkeys(texts) if t not in self.number]
-        if new:
-            odd = np.array([not (part := t[t[0] == " " :] if t else t) or RUNS.search(part) is not None for t in new])
-            size = np.zeros(len(new), np.int64)
-            size[~odd] = [len(t.encode()) for t, o in zip(new, odd) if not o]
-            # Parts with their spaces are encoded as one text; no id crosses a part, so the ids' bytes tell which is whose.
-            ids = self.encode("".join(t for t, o in zip(new, odd) if not o)) if new[0][:1] == " " else np.concatenate([np.zeros(0, self.kind), *(self.encode(t) for t, o in zip(new, odd) if not o)])
-            ends = np.concatenate([[0], np.cumsum(self.n_bytes[ids])])
-            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
-            self.known = np.concatenate([self.known, ids])
-            self.at = np.concatenate([self.at, self.at[-1] + np.searchsorted(ends, np.cumsum(size))])
-            self.odd = np.concatenate([self.odd, odd])
-        return np.fromiter(map(self.number.__getitem__, texts), np.int64, len(texts))
-
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a column of texts as one array, and the bounds of each row in it. Null and empty texts have none."""
-        if not len(texts):
-            return np.zeros(0, self.kind), np.zeros(1, np.int64)
-        if len(self.number) > CACHE or len(self.known) > 8 * CACHE:
-            self.forget()
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        cut = pc.split_pattern(texts, " ")
-        first = cut.offsets.to_numpy()[:-1].astype(np.int64)
-        first -= first[0]
-        parts = cut.flatten().dictionary_encode()
-        words = parts.dictionary.to_pylist()
-        code = parts.indices.to_numpy()
-        number = self.numbers([f" {w}" for w in words])[code]
-        number[first] = self.numbers([words[c] for c in code[first]])
-        whole = np.logical_or.reduceat(self.odd[number], first)
-        size = self.at[number + 1] - self.at[number]
-        size[np.repeat(whole, np.diff(first, append=len(number)))] = 0
-        gathered = np.add.reduceat(size, first)
-        odd = {i: self.encode(texts[i].as_py()) for i in np.flatnonzero(whole).tolist()}
-        n = gathered.copy()
-        n[list(odd)] = [len(x) for x in odd.values()]
-        bounds = np.concatenate([[0], np.cumsum(n)])
-        out, every = np.empty(bounds[-1], self.kind), np.arange(size.sum())
-        values = self.known[every + np.repeat(self.at[number] - (np.cumsum(size) - size), size)]
-        out[every + np.repeat(bounds[:-1] - (np.cumsum(gathered) - gathered), gathered)] = values
-        for i, x in odd.items():
-            out[bounds[i] : bounds[i + 1]] = x
-        return out, bounds
+        found = [self.encode(text or "") for text in texts.to_pylist()]
+        return np.concatenate([np.zeros(0, self.kind), *found]), np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)])
 
 
 def permuted(x: np.ndarray, n: int, key: int, rounds: int = 4) -> np.ndarray:
