@@ -9,12 +9,14 @@
    miss probability. Survivors are verified on their whole shingle sets.
 4. Connected components over the links. Buckets that still hold several components are then compared between components,
    in square tiles of bounded size that are spread over tasks: first each member with its likeliest partner, which joins
-   most of what belongs together, and then in full, so that no link is lost. Survivors are verified, and components are
-   found again over all links.
+   most of what belongs together, and then in full, so that no link is lost. Here the sequence of batches goes on four
+   times as far, over signatures of one byte a hash; chance matches of bytes can only keep a pair. Survivors are verified,
+   and components are found again over all links.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -29,6 +31,8 @@ from .textkit import BASES, U, Words, mix, running, slices, spans
 BANDS, ROWS = 30, 6
 HASHES = BANDS * ROWS
 BATCH = 36
+#: Hashes of the byte signatures that decide between components.
+FURTHER = 4 * HASHES
 MISS = 1e-6
 TILE = 256
 
@@ -49,18 +53,22 @@ def shingle_sets(words: Words, k: int) -> tuple[list[np.ndarray], np.ndarray, np
     return sets, whole, other
 
 
-def multipliers() -> tuple[np.ndarray, np.ndarray]:
-    a = mix(np.arange(1, HASHES + 1, dtype=U) * U(0xD1342543DE82EF95)) | U(1)
+def multipliers(n: int = HASHES) -> tuple[np.ndarray, np.ndarray]:
+    a = mix(np.arange(1, n + 1, dtype=U) * U(0xD1342543DE82EF95)) | U(1)
     return a[:, None], mix(a ^ U(0xA5A5A5A5A5A5A5A5))[:, None]
 
 
-def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    least = np.full(HASHES, np.iinfo(np.uint64).max, U)
+def least_hashes(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    least = np.full(len(a), np.iinfo(np.uint64).max, U)
     for at in range(0, len(s), 1024):
         x = a * s[None, at : at + 1024]
         x += b
         np.minimum(least, x.min(axis=1), out=least)
-    return (least >> U(32)).astype("<u4")
+    return least
+
+
+def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (least_hashes(s, a, b) >> U(32)).astype("<u4")
 
 
 def sketched(k: int):
@@ -78,6 +86,18 @@ def sketched(k: int):
     return run
 
 
+def byte_signatures(k: int):
+    def run(batches):
+        a, b = multipliers(FURTHER)
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                sets, _, _ = shingle_sets(Words(piece.column("text"), lower=True), k)
+                sig = [least_hashes(s, a, b).astype("u1").tobytes() if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(sig, pa.binary())], names=["id", "sig"])
+
+    return run
+
+
 def banded(batches):
     for batch in batches:
         if batch.num_rows:
@@ -88,13 +108,13 @@ def banded(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), BANDS)), pa.array(key.reshape(-1).view(np.int64))], names=["id", "key"])
 
 
-def least_matches(threshold: float, miss: float = MISS) -> dict[int, int]:
+def least_matches(threshold: float, miss: float = MISS, hashes: int = HASHES) -> dict[int, int]:
     """For each number of compared hashes, the fewest matches that leave a posterior of at least ``miss`` that the
     similarity reaches the threshold: 1 - I_t(m + 1, n - m + 1), a binomial sum."""
     out = {}
-    for n in range(BATCH, HASHES + 1, BATCH):
-        term = [math.comb(n + 1, j) * threshold**j * (1 - threshold) ** (n + 1 - j) for j in range(n + 2)]
-        out[n] = next(m for m in range(n + 1) if sum(term[: m + 1]) >= miss)
+    for n in range(BATCH, hashes + 1, BATCH):
+        sums = itertools.accumulate(math.comb(n + 1, j) * threshold**j * (1 - threshold) ** (n + 1 - j) for j in range(n + 2))
+        out[n] = next(m for m, total in enumerate(sums) if total >= miss)
     return out
 
 
@@ -118,18 +138,30 @@ def prune_pairs(need):
     return run
 
 
+def alike(one: np.ndarray, sig: np.ndarray, others: np.ndarray, need: dict[int, int]) -> np.ndarray:
+    """Those of the others (indices of sig) that no batch prunes against one."""
+    same = np.zeros(len(others), np.int32)
+    for n in need:
+        same = same + (sig[others, n - BATCH : n] == one[n - BATCH : n]).sum(axis=1)
+        keep = same >= need[n]
+        others, same = others[keep], same[keep]
+        if not len(others):
+            break
+    return others
+
+
 def prune_tile(need, likeliest: bool):
     def run(table: pa.Table) -> pa.Table:
         """Pairs of a tile between the two sides (or within the one), of different components; if likeliest, only the
         one with the most matches for each member of the first side."""
         ids, comp, side = (table.column(c).to_numpy() for c in ("id", "comp", "side"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u4").reshape(-1, HASHES)
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "u1").reshape(-1, FURTHER)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         out_x, out_y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in left:
             others = right if len(right) else left if likeliest else left[left > i]
             others = others[comp[others] != comp[i]]
-            good = others[survivors(np.broadcast_to(sig[i], (len(others), HASHES)), sig[others], need)]
+            good = alike(sig[i], sig, others, need)
             if likeliest and len(good) > 1:
                 good = good[[(sig[good] == sig[i]).sum(axis=1).argmax()]]
             out_x.append(np.minimum(ids[good], ids[i]))
@@ -196,9 +228,9 @@ def components(links: DataFrame) -> DataFrame:
     return pairs.union(edges.select(F.col("y").alias("id"), F.col("y").alias("component")).distinct())
 
 
-def apart(shared: DataFrame, comp: DataFrame, met: DataFrame, need: dict[int, int], likeliest: bool) -> DataFrame:
-    """Unpruned pairs of a bucket's members in different components: all of what is not with the hub meets everything
-    that it is not with, tile by tile."""
+def apart(shared: DataFrame, comp: DataFrame) -> DataFrame:
+    """Tiles (key, kind, i, j) with their members (id, comp, side): of each bucket that holds several components, all of
+    what is not with the hub meets everything that it is not with."""
     tagged = shared.join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id"))
     mains = tagged.where("id = hub").select("key", F.col("comp").alias("main")).distinct()
     tagged = tagged.join(mains, "key").withColumn("away", F.col("comp") != F.col("main"))
@@ -214,8 +246,7 @@ def apart(shared: DataFrame, comp: DataFrame, met: DataFrame, need: dict[int, in
     among = F.transform(F.sequence(zero, F.col("ta") - 1), lambda j: spot(0, F.least(t, j), F.greatest(t, j), F.when(t <= j, 0).otherwise(1)))
     to_main = F.transform(F.sequence(zero, F.col("tm") - 1), lambda j: spot(1, t, j, zero))
     from_main = F.transform(F.sequence(zero, F.col("ta") - 1), lambda i: spot(1, i, t, one))
-    tile = placed.select("key", "id", "comp", F.explode(F.when(F.col("away"), F.concat(among, to_main)).otherwise(from_main)).alias("x")).select("key", "id", "comp", "x.*")
-    return tile.join(met, "id").groupBy("key", "kind", "i", "j").applyInArrow(prune_tile(need, likeliest), "x long, y long").distinct()
+    return placed.select("key", "id", "comp", F.explode(F.when(F.col("away"), F.concat(among, to_main)).otherwise(from_main)).alias("x")).select("key", "id", "comp", "x.*")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
@@ -251,8 +282,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     links = stored(verified(reps, pairs, k, percent), "links")
     comp = components(links)
     # First every member's likeliest partner outside its component, and then whatever still is apart.
+    further, met = least_matches(percent / 100, hashes=FURTHER), None
     for likeliest in (True, False):
-        late = stored(apart(shared, comp, met, need, likeliest), "apart")
+        tiles = stored(apart(shared, comp), "tiles")
+        if not tiles.limit(1).count():
+            break
+        if met is None:  # later tiles have no other members
+            met = reps.join(small(tiles.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi").mapInArrow(byte_signatures(k), "id long, sig binary")
+            met = stored(met.where("sig is not null").dropDuplicates(["id", "sig"]), "met")
+        late = tiles.join(met, "id").groupBy("key", "kind", "i", "j").applyInArrow(prune_tile(further, likeliest), "x long, y long")
+        late = stored(late.distinct(), "apart")
         if late.limit(1).count():
             links = stored(links.union(verified(reps, late, k, percent)), "links")
             comp = components(links)
