@@ -204,7 +204,8 @@ def test_training_order(spark):
     manifest = training_order.write_order(rows, folder, per_shard=100)
     out = training_order.read_order(manifest, folder, per_shard=100).collect()
     assert sorted(r.slot for r in out) == list(range(len(out)))
-    t = training_order.Tokenizer(training_order.load_ranks(training_order.VOCABULARY))
+    with open(training_order.VOCABULARY, "rb") as f:
+        t = training_order.Tokenizer(training_order.load_ranks(f.read()))
     want = Counter()
     for r in rows.collect():
         if r.text:

@@ -13,6 +13,7 @@ uint32 for vocabularies above 65536), all little-endian; ids beyond n_tokens are
 from __future__ import annotations
 
 import base64
+import functools
 import zlib
 
 import numpy as np
@@ -33,9 +34,14 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 NO_ID = -(1 << 63)
 
 
-def load_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+def load_ranks(vocabulary: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+
+
+@functools.lru_cache(1)
+def tokenizer_of(vocabulary: bytes) -> Tokenizer:
+    """The tokenizer of a vocabulary file's content; tasks that run in one worker share it."""
+    return Tokenizer(load_ranks(vocabulary))
 
 
 class Tokenizer:
@@ -87,9 +93,9 @@ def tokenized(batches, tokenizer: Tokenizer, length: int):
             yield part.column("doc_id"), ids, bounds, (np.diff(bounds) + 1) * there
 
 
-def counted(ranks, length):
+def counted(vocabulary: bytes, length):
     def run(batches):
-        n = sum(int((-(-size // length)).sum()) for *_, size in tokenized(batches, Tokenizer(ranks), length))
+        n = sum(int((-(-size // length)).sum()) for *_, size in tokenized(batches, tokenizer_of(vocabulary), length))
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
 
     return run
@@ -110,10 +116,10 @@ def records_of(doc_id, ids, bounds, size, length: int, tokenizer: Tokenizer) ->
     return out
 
 
-def slotted(ranks, length, first: dict[int, tuple[int, int]], n: int, per_shard: int, key: int):
+def slotted(vocabulary: bytes, length, first: dict[int, tuple[int, int]], n: int, per_shard: int, key: int):
     def run(batches):
         at, expected = first[TaskContext.get().partitionId()]
-        due, tokenizer = at + expected, Tokenizer(ranks)
+        due, tokenizer = at + expected, tokenizer_of(vocabulary)
         for part in tokenized(batches, tokenizer, length):
             records = records_of(*part, length, tokenizer)
             slot = permuted(np.arange(at, at + len(records)), n, key)
@@ -135,14 +141,17 @@ def shard_writer(folder: str, per_shard: int, stride: int):
                 rows.append({"shard": now, "file": out.name, "records": out.at // stride, "crc32": crc})
 
         for batch in batches:
-            for shard, slot, record in zip(*(batch.column(c).to_pylist() for c in ("shard", "slot", "record"))):
-                if shard != now:
+            shard, slot = (batch.column(c).to_numpy() for c in ("shard", "slot"))
+            start = np.flatnonzero(np.diff(shard, prepend=-1)).tolist() if len(shard) else []
+            for lo, hi in zip(start, [*start[1:], len(shard)]):
+                if shard[lo] != now:
                     close()
-                    out, now, due, crc = Out(folder, ".bin"), shard, shard * per_shard, 0
-                if slot != due:
-                    raise RuntimeError(f"slot {due} of shard {shard} is missing")
-                out.write(record)
-                crc, due = zlib.crc32(record, crc), due + 1
+                    out, now, due, crc = Out(folder, ".bin"), int(shard[lo]), int(shard[lo]) * per_shard, 0
+                if (slot[lo:hi] != np.arange(due, due + hi - lo)).any():
+                    raise RuntimeError(f"after slot {due} of shard {now}, one is missing")
+                records = b"".join(batch.column("record").slice(lo, hi - lo).to_pylist())
+                out.write(records)
+                crc, due = zlib.crc32(records, crc), due + hi - lo
         close()
         yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("shard", pa.int64()), ("file", pa.string()), ("records", pa.int64()), ("crc32", pa.int64())]))
 
@@ -155,15 +164,17 @@ def write_order(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, leng
     Null and empty texts give no sequences; a null doc_id is kept as such; repeated rows are sequences of their own. Other
     columns are ignored. An empty table gives no shards.
     """
-    spark, ranks = docs.sparkSession, load_ranks(vocabulary)
+    spark = docs.sparkSession
+    with open(vocabulary, "rb") as f:
+        content = f.read()
     docs = docs.select("doc_id", "text")
-    size = Tokenizer(ranks).kind.itemsize
+    size = tokenizer_of(content).kind.itemsize
     first, n = {}, 0
-    for r in sorted(docs.mapInArrow(counted(ranks, length), "part int, n long").collect()):
+    for r in sorted(docs.mapInArrow(counted(content, length), "part int, n long").collect()):
         first[r.part] = (n, r.n)
         n += r.n
     make_folder(spark, f"{folder}/shards")
-    records = docs.mapInArrow(slotted(ranks, length, first, n, per_shard, key), "shard long, slot long, record binary")
+    records = docs.mapInArrow(slotted(content, length, first, n, per_shard, key), "shard long, slot long, record binary")
     dealt = records.repartition(parts(docs), "shard").sortWithinPartitions("shard", "slot")
     dealt.mapInArrow(shard_writer(f"{folder}/shards", per_shard, 16 + length * size), "shard long, file string, records long, crc32 long").write.parquet(f"{folder}/manifest")
     return spark.read.schema("shard long, file string, records long, crc32 long").parquet(f"{folder}/manifest")
@@ -184,7 +195,7 @@ def read_order(manifest: DataFrame, folder: str, length: int = 256, per_shard: i
                         x = np.frombuffer(data, np.uint8).reshape(-1, stride)
                         doc = np.ascontiguousarray(x[:, :8]).view("<i8")[:, 0]
                         meta = np.ascontiguousarray(x[:, 8:16]).view("<i4")
-                        crc = [zlib.crc32(row[16 : 16 + size * int(m)].tobytes()) for row, m in zip(x, meta[:, 1])]
+                        crc = [zlib.crc32(data[i : i + size * m]) for i, m in zip(range(16, len(data), stride), meta[:, 1].tolist())]
                         slot = r["shard"] * per_shard + np.arange(at, at + len(x))
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(slot), pa.array(np.full(len(x), r["shard"])), pa.array(doc, mask=doc == NO_ID), pa.array(meta[:, 0].astype(np.int32)), pa.array(meta[:, 1].astype(np.int32)), pa.array(crc, pa.int64())],
