@@ -10,8 +10,8 @@
 4. Connected components over the links. Buckets that still hold several components are then compared between components,
    in square tiles of bounded size that are spread over tasks: first each member with its likeliest partner, which joins
    most of what belongs together, and then in full, so that no link is lost. Here the sequence of batches goes on four
-   times as far, over signatures of one byte a hash; chance matches of bytes can only keep a pair. Survivors are verified,
-   and components are found again over all links.
+   times as far, over signatures of one byte a hash; chance matches of bytes can only keep a pair. A pair that meets in
+   several buckets is told in one. Survivors are verified, and components are found again over all links.
 """
 
 from __future__ import annotations
@@ -92,19 +92,27 @@ def byte_signatures(k: int):
         for batch in batches:
             for piece in slices(batch, "text"):
                 sets, _, _ = shingle_sets(Words(piece.column("text"), lower=True), k)
-                sig = [least_hashes(s, a, b).astype("u1").tobytes() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(sig, pa.binary())], names=["id", "sig"])
+                least = [least_hashes(s, a, b) if len(s) else None for s in sets]
+                sig = [x if x is None else x.astype("u1").tobytes() for x in least]
+                keys = [x if x is None else band_keys((x[None, :HASHES] >> U(32)).astype("<u4")).tobytes() for x in least]
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(sig, pa.binary()), pa.array(keys, pa.binary())], names=["id", "sig", "keys"])
 
     return run
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """The bucket of each band of each signature (a row of sig)."""
+    sig = sig.reshape(-1, BANDS, ROWS).astype(U)
+    key = np.broadcast_to(np.arange(BANDS, dtype=U) * U(0x9E3779B97F4A7C15), sig.shape[:2]).copy()
+    for j in range(ROWS):
+        key = mix(key ^ sig[:, :, j])
+    return key
+
+
 def banded(batches):
     for batch in batches:
         if batch.num_rows:
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(-1, BANDS, ROWS).astype(U)
-            key = np.broadcast_to(np.arange(BANDS, dtype=U) * U(0x9E3779B97F4A7C15), sig.shape[:2]).copy()
-            for j in range(ROWS):
-                key = mix(key ^ sig[:, :, j])
+            key = band_keys(np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(-1, HASHES))
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), BANDS)), pa.array(key.reshape(-1).view(np.int64))], names=["id", "key"])
 
 
@@ -152,16 +160,21 @@ def alike(one: np.ndarray, sig: np.ndarray, others: np.ndarray, need: dict[int,
 
 def prune_tile(need, likeliest: bool):
     def run(table: pa.Table) -> pa.Table:
-        """Pairs of a tile between the two sides (or within the one), of different components; if likeliest, only the
-        one with the most matches for each member of the first side."""
+        """Pairs of a tile between the two sides (or within the one), of different components, but for those that meet
+        in an earlier band too; if likeliest, only the one with the most matches for each member of the first side."""
         ids, comp, side = (table.column(c).to_numpy() for c in ("id", "comp", "side"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "u1").reshape(-1, FURTHER)
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64).reshape(-1, BANDS)
+        # The band that a member is here by; one that is here by another text of its id meets everything here.
+        own = keys == table.column("key").to_numpy()[:, None]
+        band = np.where(own.any(axis=1), own.argmax(axis=1), 0)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         out_x, out_y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in left:
             others = right if len(right) else left if likeliest else left[left > i]
             others = others[comp[others] != comp[i]]
             good = alike(sig[i], sig, others, need)
+            good = good[~((keys[good] == keys[i]) & (np.arange(BANDS) < np.minimum(band[good], band[i])[:, None])).any(axis=1)]
             if likeliest and len(good) > 1:
                 good = good[[(sig[good] == sig[i]).sum(axis=1).argmax()]]
             out_x.append(np.minimum(ids[good], ids[i]))
@@ -288,7 +301,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
         if not tiles.limit(1).count():
             break
         if met is None:  # later tiles have no other members
-            met = reps.join(small(tiles.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi").mapInArrow(byte_signatures(k), "id long, sig binary")
+            met = reps.join(small(tiles.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi").mapInArrow(byte_signatures(k), "id long, sig binary, keys binary")
             met = stored(met.where("sig is not null").dropDuplicates(["id", "sig"]), "met")
         late = tiles.join(met, "id").groupBy("key", "kind", "i", "j").applyInArrow(prune_tile(further, likeliest), "x long, y long")
         late = stored(late.distinct(), "apart")
