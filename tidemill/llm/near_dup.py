@@ -35,6 +35,8 @@ BATCH = 36
 FURTHER = 4 * HASHES
 MISS = 1e-6
 TILE = 256
+#: A class that holds more than one row in so many is handed to all tasks instead of being shuffled with its copies.
+COMMON = 10_000
 
 
 def shingle_sets(words: Words, k: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -273,8 +275,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     docs = docs.select("doc_id", "text")
     rows = stored(docs.mapInArrow(sketched(k), "doc_id long, n long, a long, b long, sig binary"), "sketches")
     real = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = real.groupBy("a", "b").agg(F.min("doc_id").alias("id"))
-    members = stored(real.select("doc_id", "a", "b").join(classes, ["a", "b"]).select("doc_id", "id").distinct(), "members")
+    classes = stored(real.groupBy("a", "b").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    # Fewer than COMMON classes hold more than this share of the rows, so these may be broadcast; their copies stay spread.
+    common = F.col("copies") * COMMON > total
+    often = F.broadcast(classes.where(common).select("a", "b", "id"))
+    named = real.select("doc_id", "a", "b")
+    others = named.join(often, ["a", "b"], "left_anti").join(classes.where(~common).select("a", "b", "id"), ["a", "b"])
+    members = stored(named.join(often, ["a", "b"]).union(others.select("a", "b", "doc_id", "id")).select("doc_id", "id").distinct(), "members")
+    classes = classes.select("a", "b", "id")
     heads = members.select("id").distinct()
     sigs = real.join(heads.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").join(classes.withColumnRenamed("id", "doc_id"), ["doc_id", "a", "b"], "left_semi")
     sigs = sigs.select(F.col("doc_id").alias("id"), "sig").dropDuplicates(["id", "sig"])
