@@ -51,6 +51,12 @@ def test_near_duplicates(spark):
     assert near_dup.near_duplicates(docs(spark, [])).collect() == []
 
 
+def test_near_duplicates_with_few_common_classes(spark, monkeypatch):
+    usual = sorted(map(tuple, near_dup.near_duplicates(awkward(spark)).collect()), key=str)
+    monkeypatch.setattr(near_dup, "COMMON", 3)
+    assert sorted(map(tuple, near_dup.near_duplicates(awkward(spark)).collect()), key=str) == usual
+
+
 def test_near_duplicates_find_chains(spark):
     rng = np.random.default_rng(0)
     words = [f"v{i}" for i in rng.integers(0, 10**6, 400)]
