@@ -78,6 +78,21 @@ def test_near_duplicates_find_chains(spark):
     assert {r.doc_id: r.component_id for r in got} == label
 
 
+def test_near_duplicates_at_a_lower_threshold(spark):
+    """Bands for 0.85 miss this pair, which is alike to 0.8 exactly (16 of 20 shingles)."""
+    words = [f"s12571w{i}" for i in range(22)]
+    rows = [(1, " ".join(words), "en", "a"), (2, " ".join([*words[:20], "x", "y"]), "en", "a")]
+    for percent, component in ((80, 1), (81, 2)):
+        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs(spark, rows), percent=percent).collect()}
+        assert got == {1: 1, 2: component}
+
+
+def test_bands_follow_the_threshold():
+    assert near_dup.band_rows(0.85) == 6
+    for t in (0.5, 0.7, 0.8, 0.85, 0.9):
+        assert (1 - t ** near_dup.band_rows(t)) ** (near_dup.HASHES // near_dup.band_rows(t)) <= near_dup.MISS
+
+
 def test_pruning_bound():
     need = near_dup.least_matches(0.85)
     assert list(need) == [36, 72, 108, 144, 180] and all(m < 0.85 * n for n, m in need.items())

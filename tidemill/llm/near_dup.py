@@ -27,9 +27,7 @@ from pyspark.sql import functions as F
 from .base import small, stored
 from .textkit import BASES, U, Words, mix, running, slices, spans
 
-#: 30 bands of 6 values: a pair of similarity 0.85 shares none with a probability of 7e-7.
-BANDS, ROWS = 30, 6
-HASHES = BANDS * ROWS
+HASHES = 180
 BATCH = 36
 #: Hashes of the byte signatures that decide between components.
 FURTHER = 4 * HASHES
@@ -55,6 +53,12 @@ def shingle_sets(words: Words, k: int) -> tuple[list[np.ndarray], np.ndarray, np
     return sets, whole, other
 
 
+def band_rows(threshold: float, miss: float = MISS) -> int:
+    """The most values a band may have, so that a pair at the threshold shares no band with a probability of at most
+    ``miss``: 30 bands of 6 for 0.85 (7e-7), 36 of 5 for 0.8 (6e-7)."""
+    return max((r for r in range(1, HASHES + 1) if HASHES % r == 0 and (1 - threshold**r) ** (HASHES // r) <= miss), default=1)
+
+
 def multipliers(n: int = HASHES) -> tuple[np.ndarray, np.ndarray]:
     a = mix(np.arange(1, n + 1, dtype=U) * U(0xD1342543DE82EF95)) | U(1)
     return a[:, None], mix(a ^ U(0xA5A5A5A5A5A5A5A5))[:, None]
@@ -88,7 +92,7 @@ def sketched(k: int):
     return run
 
 
-def byte_signatures(k: int):
+def byte_signatures(k: int, per_band: int):
     def run(batches):
         a, b = multipliers(FURTHER)
         for batch in batches:
@@ -96,26 +100,29 @@ def byte_signatures(k: int):
                 sets, _, _ = shingle_sets(Words(piece.column("text"), lower=True), k)
                 least = [least_hashes(s, a, b) if len(s) else None for s in sets]
                 sig = [x if x is None else x.astype("u1").tobytes() for x in least]
-                keys = [x if x is None else band_keys((x[None, :HASHES] >> U(32)).astype("<u4")).tobytes() for x in least]
+                keys = [x if x is None else band_keys((x[None, :HASHES] >> U(32)).astype("<u4"), per_band).tobytes() for x in least]
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(sig, pa.binary()), pa.array(keys, pa.binary())], names=["id", "sig", "keys"])
 
     return run
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
+def band_keys(sig: np.ndarray, per_band: int) -> np.ndarray:
     """The bucket of each band of each signature (a row of sig)."""
-    sig = sig.reshape(-1, BANDS, ROWS).astype(U)
-    key = np.broadcast_to(np.arange(BANDS, dtype=U) * U(0x9E3779B97F4A7C15), sig.shape[:2]).copy()
-    for j in range(ROWS):
+    sig = sig.reshape(-1, HASHES // per_band, per_band).astype(U)
+    key = np.broadcast_to(np.arange(sig.shape[1], dtype=U) * U(0x9E3779B97F4A7C15), sig.shape[:2]).copy()
+    for j in range(per_band):
         key = mix(key ^ sig[:, :, j])
     return key
 
 
-def banded(batches):
-    for batch in batches:
-        if batch.num_rows:
-            key = band_keys(np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(-1, HASHES))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), BANDS)), pa.array(key.reshape(-1).view(np.int64))], names=["id", "key"])
+def banded(per_band: int):
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                key = band_keys(np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(-1, HASHES), per_band)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), key.shape[1])), pa.array(key.reshape(-1).view(np.int64))], names=["id", "key"])
+
+    return run
 
 
 def least_matches(threshold: float, miss: float = MISS, hashes: int = HASHES) -> dict[int, int]:
@@ -160,13 +167,13 @@ def alike(one: np.ndarray, sig: np.ndarray, others: np.ndarray, need: dict[int,
     return others
 
 
-def prune_tile(need, likeliest: bool):
+def prune_tile(need, likeliest: bool, bands: int):
     def run(table: pa.Table) -> pa.Table:
         """Pairs of a tile between the two sides (or within the one), of different components, but for those that meet
         in an earlier band too; if likeliest, only the one with the most matches for each member of the first side."""
         ids, comp, side = (table.column(c).to_numpy() for c in ("id", "comp", "side"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "u1").reshape(-1, FURTHER)
-        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64).reshape(-1, BANDS)
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64).reshape(-1, bands)
         # The band that a member is here by; one that is here by another text of its id meets everything here.
         own = keys == table.column("key").to_numpy()[:, None]
         band = np.where(own.any(axis=1), own.argmax(axis=1), 0)
@@ -176,7 +183,7 @@ def prune_tile(need, likeliest: bool):
             others = right if len(right) else left if likeliest else left[left > i]
             others = others[comp[others] != comp[i]]
             good = alike(sig[i], sig, others, need)
-            good = good[~((keys[good] == keys[i]) & (np.arange(BANDS) < np.minimum(band[good], band[i])[:, None])).any(axis=1)]
+            good = good[~((keys[good] == keys[i]) & (np.arange(bands) < np.minimum(band[good], band[i])[:, None])).any(axis=1)]
             if likeliest and len(good) > 1:
                 good = good[[(sig[good] == sig[i]).sum(axis=1).argmax()]]
             out_x.append(np.minimum(ids[good], ids[i]))
@@ -272,6 +279,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     texts have no shingles and are linked with nothing. Rows that share a doc_id are one node with the links of all; a
     row without doc_id is linked with nothing, and is kept. Other columns are ignored. An empty table gives no rows.
     """
+    per_band = band_rows(percent / 100)
     docs = docs.select("doc_id", "text")
     rows = stored(docs.mapInArrow(sketched(k), "doc_id long, n long, a long, b long, sig binary"), "sketches")
     real = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
@@ -288,7 +296,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     sigs = real.join(heads.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").join(classes.withColumnRenamed("id", "doc_id"), ["doc_id", "a", "b"], "left_semi")
     sigs = sigs.select(F.col("doc_id").alias("id"), "sig").dropDuplicates(["id", "sig"])
     sigs = stored(sigs, "signatures")
-    bands = sigs.mapInArrow(banded, "id long, key long")
+    bands = sigs.mapInArrow(banded(per_band), "id long, key long")
     bands = stored(bands.join(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "bands")
     # The member that shares the most leads its buckets: in a group of edited copies that is mostly their original.
     degree = bands.groupBy("id").agg(F.sum("size").alias("degree"))
@@ -310,9 +318,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
         if not tiles.limit(1).count():
             break
         if met is None:  # later tiles have no other members
-            met = reps.join(small(tiles.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi").mapInArrow(byte_signatures(k), "id long, sig binary, keys binary")
+            met = reps.join(small(tiles.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi").mapInArrow(byte_signatures(k, per_band), "id long, sig binary, keys binary")
             met = stored(met.where("sig is not null").dropDuplicates(["id", "sig"]), "met")
-        late = tiles.join(met, "id").groupBy("key", "kind", "i", "j").applyInArrow(prune_tile(further, likeliest), "x long, y long")
+        late = tiles.join(met, "id").groupBy("key", "kind", "i", "j").applyInArrow(prune_tile(further, likeliest, HASHES // per_band), "x long, y long")
         late = stored(late.distinct(), "apart")
         if late.limit(1).count():
             links = stored(links.union(verified(reps, late, k, percent)), "links")

@@ -53,7 +53,7 @@ def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 QUERIES = {
