@@ -147,6 +147,23 @@ def test_mixing_comes_near(spark):
     assert sum(taken.values()) == pytest.approx(sum(target.values()), rel=0.03)
 
 
+def test_mixing_goes_on_past_giants(spark):
+    """A giant first, and one at rank 300, of the seeded order; the seeded prefix alone would leave most of both targets."""
+    order = sorted(range(1000), key=lambda i: hashlib.md5(f"8:{i}".encode()).hexdigest())
+    giants = {"a": order[0], "b": order[300], "c": None}
+    size = {"a": lambda i: 1 + i % 39, "b": lambda i: 20, "c": lambda i: i % 61}
+    rows = docs(spark, [(i, " ".join(["w"] * (20_000 if i == g else size[s](i))), "en", s) for s, g in giants.items() for i in range(1000)])
+    out = mixing.mix_sources(rows, weights=(1, 1, 40), onward=True).collect()
+    taken, target = Counter(), {}
+    for r in out:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert 7_000 < target["a"] < 15_000 and 7_000 < target["b"] < 15_000
+    assert all(abs(taken[s] - target[s]) <= 10 for s in giants), (taken, target)
+    kept = mixing.mixed_documents(rows, weights=(1, 1, 40), onward=True).where("text <> ''").groupBy("source").count().collect()
+    assert {r.source: r["count"] for r in kept} == Counter(r.source for r in out for _ in range(r.copies))
+
+
 def test_sharding(spark):
     path = base.scratch(spark, "map")
     rows = base.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").union(awkward(spark).select("doc_id", "text"))

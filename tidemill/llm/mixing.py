@@ -5,8 +5,10 @@ the cap takes away is dealt to the others by weight until none is above. With so
 are a prefix, so one running sum over a row per source finds the level at which the others stand.
 
 A source's target is then taken as whole copies of all its documents and one fractional copy: documents in the order of a
-seeded hash while their sizes fit, then the one further document that comes nearest to what is left. The choice is a
-hash bound and one document a source, so that applying it to the documents needs no shuffle.
+seeded hash while their sizes fit, then the one further document that comes nearest to what is left. With ``onward`` the
+order goes on past a document that does not fit: each round takes from there on what fits among documents of at most what
+is left, and halves the largest size admitted, so that the rounds are as few as the target has binary digits. The choice is
+a hash range and a size for each round and one document a source, so that applying it to the documents needs no shuffle.
 """
 
 from __future__ import annotations
@@ -47,9 +49,14 @@ def water_fill(sources: DataFrame, cap: float = 3.0, weights: tuple = (1, 2, 3))
     return s.select("source", "source_size", F.when(below, F.col("limit")).otherwise(F.col("weight") * F.col("found.level")).alias("target"))
 
 
-def mixing_plan(sized: DataFrame, seed: int, cap: float, weights: tuple) -> DataFrame:
-    """A row per source: source_size, target, whole (copies of all), upto (documents of which hash get one more), pick
-    (the one further document that gets one more). sized: doc_id, source, size, h."""
+def in_ranges(h: Column, size: Column) -> Column:
+    """Whether a round of the plan took the documents of that hash and size."""
+    return F.exists("ranges", lambda x: (h > x["start"]) & (h <= x["upto"]) & (size <= x["most"]))
+
+
+def mixing_plan(sized: DataFrame, seed: int, cap: float, weights: tuple, onward: bool) -> DataFrame:
+    """A row per source: source_size, target, whole (copies of all), ranges (documents of which hashes and sizes get one
+    more), pick (the one further document that gets one more). sized: doc_id, source, size, h."""
     sources = water_fill(sized.groupBy("source").agg(F.sum("size").alias("source_size")), cap, weights)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     sources = sources.withColumn("whole", whole)
@@ -58,55 +65,78 @@ def mixing_plan(sized: DataFrame, seed: int, cap: float, weights: tuple) -> Data
     def of(df: DataFrame, other: DataFrame) -> DataFrame:
         return df.join(small(other.withColumnRenamed("source", "its")), F.col("source").eqNullSafe(F.col("its"))).drop("its")
 
-    # Sums of hash buckets find where the gap ends, and only that bucket is gone through row by row.
     bucket = F.substring("h", 1, 3)
-    sums = sized.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("sum"))
-    so_far = F.sum("sum").over(Window.partitionBy("source").orderBy("bucket"))
-    ends = of(sums.withColumn("so_far", so_far), sources.select("source", "gap")).where(F.col("so_far") > F.col("gap"))
-    ends = ends.groupBy("source").agg(F.min(F.struct("bucket", (F.col("so_far") - F.col("sum")).alias("before"))).alias("x"))
-    ends = ends.select("source", F.col("x.bucket").alias("bucket"), F.col("x.before").alias("before"))
-    rows = of(sized, of(ends, sources.select("source", "gap"))).where(bucket == F.col("bucket"))
-    taken = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("h"))  # equal hashes stand or fall together
-    rows = rows.withColumn("sum", taken).groupBy("source").agg(
-        F.max(F.when(F.col("sum") <= F.col("gap"), F.col("h"))).alias("in_bucket"),
-        F.max(F.when(F.col("sum") <= F.col("gap"), F.col("sum"))).alias("in_sum"),
-        F.first("bucket").alias("bucket"), F.first("before").alias("before"), F.first("gap").alias("gap"),
-    )
-    # A bare bucket sorts before all hashes in it, and so takes the buckets before it and none of its own.
-    cuts = rows.select("source", F.coalesce("in_bucket", "bucket").alias("upto"), (F.col("gap") - F.coalesce("in_sum", "before")).alias("rest"))
-    cuts = stored(cuts, "cuts")
+
+    def cut(state: DataFrame) -> DataFrame:
+        """state (source, start, most, rest) with upto, the last hash after start whose documents of size at most most
+        still fit, left, and stop, the hash that does not fit (null if all fit)."""
+        # Sums of hash buckets find where the rest ends, and only that bucket is gone through row by row.
+        able = of(sized, state).where((F.col("h") > F.col("start")) & (F.col("size") <= F.col("most")))
+        sums = able.groupBy("source", "rest", bucket.alias("bucket")).agg(F.sum("size").alias("sum"))
+        sums = sums.withColumn("so_far", F.sum("sum").over(Window.partitionBy("source").orderBy("bucket")))
+        ends = sums.where(F.col("so_far") > F.col("rest")).groupBy("source").agg(F.min(F.struct("bucket", (F.col("so_far") - F.col("sum")).alias("before"))).alias("x"))
+        ends = ends.select("source", F.col("x.bucket").alias("bucket"), F.col("x.before").alias("before"))
+        rows = of(able, ends).where(bucket == F.col("bucket"))
+        taken = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("h"))  # equal hashes stand or fall together
+        fits = F.col("sum") <= F.col("rest")
+        rows = rows.withColumn("sum", taken).groupBy("source").agg(
+            F.max(F.when(fits, F.col("h"))).alias("in_bucket"), F.max(F.when(fits, F.col("sum"))).alias("in_sum"),
+            F.min(F.when(~fits, F.col("h"))).alias("stop"), F.first("bucket").alias("bucket"), F.first("before").alias("before"),
+        )
+        # A bare bucket sorts before all hashes in it, and so takes the buckets before it and none of its own; "~" sorts after all.
+        rows = rows.select(F.col("source").alias("c"), F.coalesce("in_bucket", "bucket").alias("upto"), F.coalesce("in_sum", "before").alias("used"), "stop")
+        found = state.join(rows, F.col("source").eqNullSafe(F.col("c")), "left")
+        if onward:
+            every = able.groupBy(F.col("source").alias("e")).agg(F.sum("size").alias("every"))
+            found = found.join(every, F.col("source").eqNullSafe(F.col("e")), "left")
+            used = F.coalesce("used", "every", F.lit(0))
+            return found.select("source", "start", "most", F.coalesce("upto", F.lit("~")).alias("upto"), (F.col("rest") - used).alias("left"), "stop")
+        return found.where("upto is not null").select("source", "start", "most", "upto", (F.col("rest") - F.col("used")).alias("left"), "stop")
+
+    state = sources.select("source", F.lit("").alias("start"), F.lit(float("inf")).alias("most"), F.col("gap").alias("rest"))
+    cuts, last = None, stored(cut(state), "cuts")
+    while True:
+        cuts = last if cuts is None else cuts.union(last)
+        state = last.where("stop is not null").select("source", F.col("stop").alias("start"), F.least(F.col("left"), F.col("most") / 2).alias("most"), F.col("left").alias("rest")).where("most >= 1")
+        if not onward or not state.limit(1).count():
+            break
+        last = stored(cut(state), "cuts")
+    one = F.struct("start", "most", "upto")
+    # What the last round left is the least.
+    cuts = stored(cuts.groupBy("source").agg(F.collect_list(one).alias("ranges"), F.min("left").alias("rest")), "ranges")
     near = F.abs(F.col("size") - F.col("rest"))
-    picks = of(sized, cuts).where((F.col("h") > F.col("upto")) & (F.col("size") > 0) & (near < F.col("rest")))
+    picks = of(sized, cuts).where(~in_ranges(F.col("h"), F.col("size")) & (F.col("size") > 0) & (near < F.col("rest")))
     picks = picks.groupBy("source").agg(F.min(F.struct(near.alias("off"), F.col("h").alias("h"))).alias("x")).select("source", F.col("x.h").alias("pick"))
     other = lambda df, name: df.withColumnRenamed("source", name)
     plan = sources.join(other(cuts, "c"), F.col("source").eqNullSafe(F.col("c")), "left").join(other(picks, "p"), F.col("source").eqNullSafe(F.col("p")), "left")
-    return plan.select(F.col("source").alias("its"), "source_size", "target", "whole", "upto", "pick")
+    return plan.select(F.col("source").alias("its"), "source_size", "target", "whole", "ranges", "pick")
 
 
-def with_copies(docs: DataFrame, seed: int, cap: float, weights: tuple) -> DataFrame:
+def with_copies(docs: DataFrame, seed: int, cap: float, weights: tuple, onward: bool = False) -> DataFrame:
     """row (a struct of all columns of docs), source_size, target and copies."""
     h = seeded(F.col("doc_id"), seed)
     sized = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), h.alias("h")), "sized")
-    plan = stored(mixing_plan(sized, seed, cap, weights), "plan")
-    rows = docs.select(F.struct("*").alias("row"), h.alias("h"))
+    plan = stored(mixing_plan(sized, seed, cap, weights, onward), "plan")
+    size = word_count(F.col("text")) if onward else F.lit(0)  # the first round admits all sizes
+    rows = docs.select(F.struct("*").alias("row"), h.alias("h"), size.alias("words"))
     out = rows.join(small(plan), F.col("row.source").eqNullSafe(F.col("its")))
-    more = F.coalesce(F.col("h") <= F.col("upto"), F.lit(False)) | F.coalesce(F.col("h") == F.col("pick"), F.lit(False))
+    more = F.coalesce(in_ranges(F.col("h"), F.col("words")), F.lit(False)) | F.coalesce(F.col("h") == F.col("pick"), F.lit(False))
     return out.select("row", "source_size", "target", (F.col("whole") + more.cast("long")).alias("copies"))
 
 
-def mix_sources(docs: DataFrame, seed: int = 8, cap: float = 3.0, weights: tuple = (1, 2, 3)) -> DataFrame:
+def mix_sources(docs: DataFrame, seed: int = 8, cap: float = 3.0, weights: tuple = (1, 2, 3), onward: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, taken, source, copies for every row of docs.
 
     A null text has no words; null sources are one source, the last; a null doc_id is an id of its own. Documents that
-    share an id within a source share their fate. Documents without words count for nothing. An empty table gives no
+    share an id within a source share their fate (with onward, those of one size do). Documents without words count for nothing. An empty table gives no
     rows, and if no document has words every target is 0. Other columns are ignored.
     """
-    out = with_copies(docs.select("doc_id", "source", "text"), seed, cap, weights)
+    out = with_copies(docs.select("doc_id", "source", "text"), seed, cap, weights, onward)
     out = out.select("row.doc_id", word_count(F.col("row.text")).alias("size"), "source_size", "target", "copies", "row.source")
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", F.when(F.col("size") > 0, F.col("copies")).otherwise(0).alias("copies"))
 
 
-def mixed_documents(docs: DataFrame, seed: int = 8, cap: float = 3.0, weights: tuple = (1, 2, 3)) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = 8, cap: float = 3.0, weights: tuple = (1, 2, 3), onward: bool = False) -> DataFrame:
     """docs as the mix reads them: each row as often as it is taken, with all its columns."""
-    out = with_copies(docs, seed, cap, weights).where(F.col("copies") > 0)
+    out = with_copies(docs, seed, cap, weights, onward).where(F.col("copies") > 0)
     return out.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
