@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.llm import base, chat, decontaminate, language, mixing, multi_index, near_dup, queries, sharding, substring_dedup, training_order, warc
 
@@ -178,6 +179,16 @@ def test_sharding(spark):
     assert sharding.shard_documents(docs(spark, []), base.scratch(spark, "map")).collect() == []
 
 
+def test_sharding_splits_hot_ids(spark):
+    """A third of the rows has no id, and a third has one id."""
+    rows = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, F.col("id")).when(F.col("id") % 3 == 1, 7).alias("doc_id"), F.lit("same text").alias("text"))
+    out = sharding.shard_documents(rows, base.scratch(spark, "map"))
+    sizes = Counter({r.shard: r.size for r in out.groupBy("shard").agg(F.sum("size").alias("size")).collect()})
+    assert len(sizes) == 24 and max(sizes.values()) < 1.05 * min(sizes.values())
+    assert out.groupBy("vslot").count().agg(F.max("count")).first()[0] < 100
+    assert out.count() == 30_000 == out.select("shard", "slot").distinct().count()
+
+
 def test_rebalancing(spark):
     rng = np.random.default_rng(1)
     loads = [(s, int(n), 1) for s, n in enumerate(rng.integers(1, 1000, 512))]

@@ -14,7 +14,11 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .base import stored
+
 SLOTS = 4096
+#: A slot with more than one row and over this part of a shard's even share is dealt anew by salted keys.
+HOT = 1 / 8
 
 
 def slot_of(key: str, slots: int = SLOTS):
@@ -96,12 +100,17 @@ def shard_documents(docs: DataFrame, path: str, shards: int = 24, slots: int = S
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot for every row of docs; version 1 of the map is
     stored at path. The law is ``bytes``: the shards' sizes are as near to equal as whole slots allow.
 
-    A null text has no bytes and the checksum of an empty text; rows without doc_id share a virtual slot; repeated rows
-    stay rows of their own, in the same slot. Other columns are ignored. An empty table gives no rows.
+    A null text has no bytes and the checksum of an empty text; rows without doc_id share a virtual slot, as do rows of one
+    id, unless that slot is hot: its rows are salted by their place in the input. Other columns are ignored. An empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
     records = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slot_of("doc_id", slots))
     loads = slot_loads(records)
+    even = sum(n for _, n, _ in loads) / shards
+    if hot := [slot for slot, n, rows in loads if rows > 1 and n > HOT * even]:
+        salted = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(slots)).cast("int")
+        records = stored(records.withColumn("vslot", F.when(F.col("vslot").isin(hot), salted).otherwise(F.col("vslot"))), "salted")
+        loads = slot_loads(records)
     spark = docs.sparkSession
     store_map(spark, path, 1, planned(loads, shards, slots), loads)
     out = sharded(records, load_map(spark, path, 1), ["doc_id", "text_crc32", "size"])
