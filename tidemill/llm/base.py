@@ -1,4 +1,4 @@
-"""What the operators share: reading tables, the shared folder, size-checked broadcasts and semi-joins."""
+"""What the operators share: reading tables, the shared folder, size-checked broadcasts."""
 
 from __future__ import annotations
 
@@ -6,14 +6,21 @@ import contextlib
 import os
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Words are runs of bytes other than these: space and the control characters from tab to carriage return.
-SPACES = r"[\x20\x09-\x0D]"
-#: A side of a join is broadcast only when a count shows that it has at most this many narrow rows.
+#: A side of a join is broadcast only when it was counted to have at most so many rows, and so many bytes in all.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
+#: While a table is stored, its shuffles go when it is done (it is read from its files from then on), and batches for
+#: Python stay small, so that a worker's memory does not depend on the width of the rows.
+WHILE_STORING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,43 +28,90 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    with contextlib.suppress(Exception):
-        if named := spark.conf.get("spark.checkpoint.dir", None):
-            return named.rstrip("/")
+    """The folder that driver and executors share. In local mode a folder of our own will do where the session names none."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = os.path.join(tempfile.gettempdir(), "tidemill-shared")
     os.makedirs(own, exist_ok=True)
     return f"file://{own}"
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/tidemill/{what}-{uuid.uuid4().hex}"
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it takes it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def make_folder(spark: SparkSession, path: str) -> str:
+    fs, at = file_system(spark, path)
     fs.mkdirs(at)
+    return path
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new folder in the shared folder, deleted when the driver's JVM ends."""
+    path = make_folder(spark, f"{shared_dir(spark)}/tidemill/{what}-{uuid.uuid4().hex}")
+    fs, at = file_system(spark, path)
     fs.deleteOnExit(at)
     return path
 
 
-def drop(spark: SparkSession, *paths: str) -> None:
-    """Delete scratch paths that no later step reads."""
-    for path in paths:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = file_system(spark, path)
+    fs.delete(at, True)
+
+
+@contextlib.contextmanager
+def storing(spark: SparkSession):
+    """A table that is written here is read only from its files afterwards; see WHILE_STORING."""
+    before = {k: spark.conf.get(k, None) for k in WHILE_STORING}
+    try:
+        for k, v in WHILE_STORING.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage, and survives lost executors."""
-    path = f"{scratch(df.sparkSession, what)}/t"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch(spark, what)
+    with storing(spark):
+        df.write.option("compression", "zstd").parquet(f"{path}/t")
+    out = spark.read.schema(df.schema).parquet(f"{path}/t")
+    out.stored_at = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Delete the files of stored tables that no later step reads."""
+    for df in frames:
+        delete(df.sparkSession, df.stored_at)
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of df's size, which for a plain scan is the size of its files; 0 where it has none."""
+    """The optimizer's estimate of df's size, which for a plain scan is the size of its files. Where it has none, the bytes
+    of all strings of df are summed, which reads it."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 60 else 0
+    return size if size < 1 << 60 else df.agg(F.sum(row_bytes(df))).first()[0] or 0
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes that a row of df takes in memory."""
+    each = [F.lit(16).cast("long")]
+    for f in df.schema:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            each.append(F.coalesce(F.octet_length(c), F.lit(0)).cast("long"))
+        elif isinstance(f.dataType, T.ArrayType):
+            each.append(F.coalesce(F.size(c), F.lit(0)).cast("long") * 64)
+        else:
+            each.append(F.lit(8).cast("long"))
+    return reduce(lambda a, b: a + b, each)
 
 
 def parts(df: DataFrame, each_mb: int = 16) -> int:
@@ -65,11 +119,7 @@ def parts(df: DataFrame, each_mb: int = 16) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(df) // (each_mb << 20))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast when it has at most so many rows; otherwise df, which the join then shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
-def split_words(text: Column) -> Column:
-    """The words of a text as an array: null or blank text has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"{SPACES}+"), lambda w: w != "")
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast when it is counted to be within both bounds; otherwise df, which the join then shuffles."""
+    found = df.limit(rows + 1).select(row_bytes(df).alias("size")).agg(F.count("*"), F.sum("size")).first()
+    return F.broadcast(df) if found[0] <= rows and (found[1] or 0) <= size else df

@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .base import small
-from .textkit import slices
+from .textkit import SEGMENT, slices
 
 DIM = 4096
-PIECE_ROWS = 512
+#: The longest n-gram, in bytes; all have two at least.
+LONGEST = 3
+#: Rows whose vectors are held at a time.
+PIECE_ROWS = 128
 UNKNOWN = "und"
 #: Bytes that tell no language, digits and ASCII punctuation, count as a space.
 PLAIN = np.arange(256, dtype=np.uint32)
@@ -30,30 +33,34 @@ PLAIN[[*range(0, 97), *range(123, 128)]] = 32
 
 
 def vectors(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of n-gram counts (square roots), and whether each text has a letter."""
+    """Unit vectors of n-gram counts (square roots), and whether each text has a letter. Long texts are counted by
+    segments."""
     low = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
     offsets = np.frombuffer(low.buffers()[1], np.int64)[low.offset : low.offset + len(low) + 1]
     data = np.frombuffer(low.buffers()[2], np.uint8) if low.buffers()[2] else np.zeros(0, np.uint8)
-    data = data[offsets[0] : offsets[-1]]
-    n, sizes = len(low), np.diff(offsets)
-    row = np.repeat(np.arange(n), sizes)
-    ascii_letter = np.bincount(row[(data >= 97) & (data <= 122)], minlength=n) > 0
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    n = len(low)
+    counts, ascii_letter = np.zeros(n * DIM, np.float32), np.zeros(n, bool)
+    for at in range(0, len(data), SEGMENT):
+        part = data[at : at + SEGMENT + LONGEST - 1]
+        low_row, high_row = np.searchsorted(offsets, (at, at + len(part) - 1), side="right") - 1
+        row = np.repeat(np.arange(low_row, high_row + 1), np.diff(np.clip(offsets[low_row : high_row + 2], at, at + len(part))))
+        ascii_letter[row[(part >= 97) & (part <= 122)]] = True
+        b = gram = PLAIN[part]
+        for size in range(2, LONGEST + 1):
+            gram = gram[:-1] * np.uint32(257) + b[size - 1 :] if len(b) >= size else np.zeros(0, np.uint32)
+            own = min(len(gram), SEGMENT)  # those that begin in this segment
+            same = row[:own] == row[size - 1 :][:own]
+            place = ((gram[:own][same] * np.uint32(2654435761) + np.uint32(size)) >> np.uint32(20)).astype(np.int64)
+            counts[low_row * DIM : (high_row + 1) * DIM] += np.bincount((row[:own][same] - low_row) * DIM + place, minlength=(high_row - low_row + 1) * DIM)
     letter = np.array([a or any(map(str.isalpha, low[i].as_py())) for i, a in enumerate(ascii_letter.tolist())], dtype=bool)
-    b = PLAIN[data]
-    counts = np.zeros(n * DIM, np.float64)
-    gram = b.copy()
-    for size in (2, 3):
-        gram = gram[:-1] * np.uint32(257) + b[size - 1 :] if len(b) >= size else np.zeros(0, np.uint32)
-        same = row[: len(gram)] == row[size - 1 :][: len(gram)]
-        place = ((gram * np.uint32(2654435761) + np.uint32(size)) >> np.uint32(20)).astype(np.int64)
-        counts += np.bincount((row[: len(gram)] * DIM + place)[same], minlength=n * DIM)
-    x = np.sqrt(counts.reshape(n, DIM), dtype=np.float64).astype(np.float32)
+    x = np.sqrt(counts.reshape(n, DIM))
     x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
     return x, letter
 
 
 def pieces(batch: pa.RecordBatch):
-    for piece in slices(batch, "text", 2 << 20):
+    for piece in slices(batch, "text", SEGMENT):
         for at in range(0, piece.num_rows, PIECE_ROWS):
             yield piece.slice(at, PIECE_ROWS)
 

@@ -1,6 +1,6 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
-1. Every document gets its number of distinct k-word shingles, a 128-bit hash of its words and a MinHash signature.
+1. Every document gets its number of distinct k-word shingles, two hashes of its words and a MinHash signature.
    Equal word sequences become one class, whose smallest id stands for it, so copies never meet as pairs.
 2. Signatures are cut into bands; classes that share a band's values are candidates. In each bucket every member meets
    the member that shares the most bands (a star), which links most groups with as many pairs as members.
@@ -12,6 +12,9 @@
    most of what belongs together, and then in full, so that no link is lost. Here the sequence of batches goes on four
    times as far, over signatures of one byte a hash; chance matches of bytes can only keep a pair. A pair that meets in
    several buckets is told in one. Survivors are verified, and components are found again over all links.
+
+Sets whose sizes alone keep their similarity below the threshold are no candidates. Every step's tables go as soon as the
+next step is stored, so the disk holds a step or two and not the whole run.
 """
 
 from __future__ import annotations
@@ -21,35 +24,31 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import small, stored
-from .textkit import BASES, U, Words, mix, running, slices, spans
+from .base import drop, small, stored
+from .textkit import U, Words, mix, rolling, sequences, slices
 
 HASHES = 180
 BATCH = 36
 #: Hashes of the byte signatures that decide between components.
 FURTHER = 4 * HASHES
 MISS = 1e-6
-TILE = 256
+TILE = 512
 #: A class that holds more than one row in so many is handed to all tasks instead of being shuffled with its copies.
 COMMON = 10_000
 
 
 def shingle_sets(words: Words, k: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Each row's sorted distinct shingle hashes, and two hashes of its whole word sequence."""
-    h = words.hashes()
-    sums = running(h, BASES[0])
-    first = words.first
-    at = np.arange(max(len(h) - k + 1, 0))
-    rolling = spans(sums, BASES[0], at, at + k)
-    whole = spans(sums, BASES[0], first[:-1], first[1:])
-    other = spans(running(h, BASES[1]), BASES[1], first[:-1], first[1:])
+    h, first = words.hashes(), words.first
+    runs = rolling(h, k)
+    whole, other = sequences(h, first), sequences(words.hashes(1), first, 1)
     sets = []
     for i in range(len(first) - 1):
         lo, hi = first[i], first[i + 1]
-        sets.append(np.unique(rolling[lo : hi - k + 1]) if hi - lo >= k else whole[i : i + 1] if hi > lo else rolling[:0])
+        sets.append(np.unique(runs[lo : hi - k + 1]) if hi - lo >= k else whole[i : i + 1] if hi > lo else runs[:0])
     return sets, whole, other
 
 
@@ -66,8 +65,8 @@ def multipliers(n: int = HASHES) -> tuple[np.ndarray, np.ndarray]:
 
 def least_hashes(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     least = np.full(len(a), np.iinfo(np.uint64).max, U)
-    for at in range(0, len(s), 1024):
-        x = a * s[None, at : at + 1024]
+    for at in range(0, len(s), 256):
+        x = a * s[None, at : at + 256]
         x += b
         np.minimum(least, x.min(axis=1), out=least)
     return least
@@ -101,7 +100,7 @@ def byte_signatures(k: int, per_band: int):
                 least = [least_hashes(s, a, b) if len(s) else None for s in sets]
                 sig = [x if x is None else x.astype("u1").tobytes() for x in least]
                 keys = [x if x is None else band_keys((x[None, :HASHES] >> U(32)).astype("<u4"), per_band).tobytes() for x in least]
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(sig, pa.binary()), pa.array(keys, pa.binary())], names=["id", "sig", "keys"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.binary())], names=["id", "n", "sig", "keys"])
 
     return run
 
@@ -150,7 +149,7 @@ def prune_pairs(need):
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, HASHES) for c in ("sig_x", "sig_y"))
-                yield pa.RecordBatch.from_pandas(batch.select(["x", "y"]).to_pandas().iloc[survivors(x, y, need)], preserve_index=False)
+                yield batch.select(["x", "y"]).take(pa.array(survivors(x, y, need)))
 
     return run
 
@@ -167,11 +166,11 @@ def alike(one: np.ndarray, sig: np.ndarray, others: np.ndarray, need: dict[int,
     return others
 
 
-def prune_tile(need, likeliest: bool, bands: int):
+def prune_tile(need, likeliest: bool, bands: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
         """Pairs of a tile between the two sides (or within the one), of different components, but for those that meet
         in an earlier band too; if likeliest, only the one with the most matches for each member of the first side."""
-        ids, comp, side = (table.column(c).to_numpy() for c in ("id", "comp", "side"))
+        ids, comp, side, n = (table.column(c).to_numpy() for c in ("id", "comp", "side", "n"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "u1").reshape(-1, FURTHER)
         keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64).reshape(-1, bands)
         # The band that a member is here by; one that is here by another text of its id meets everything here.
@@ -181,7 +180,7 @@ def prune_tile(need, likeliest: bool, bands: int):
         out_x, out_y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in left:
             others = right if len(right) else left if likeliest else left[left > i]
-            others = others[comp[others] != comp[i]]
+            others = others[(comp[others] != comp[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
             good = alike(sig[i], sig, others, need)
             good = good[~((keys[good] == keys[i]) & (np.arange(bands) < np.minimum(band[good], band[i])[:, None])).any(axis=1)]
             if likeliest and len(good) > 1:
@@ -221,7 +220,14 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
     sets = stored(docs.join(small(ids), "doc_id", "left_semi").mapInArrow(set_rows(k), "id long, shingles binary"), "sets")
     both = pairs.join(sets.select(F.col("id").alias("x"), F.col("shingles").alias("set_x")), "x").join(sets.select(F.col("id").alias("y"), F.col("shingles").alias("set_y")), "y")
-    return both.mapInArrow(exact(percent), "x long, y long").distinct()
+    out = stored(both.mapInArrow(exact(percent), "x long, y long").distinct(), "links")
+    drop(sets)
+    return out
+
+
+def comparable(n: Column, m: Column, percent: int) -> Column:
+    """Whether sets of n and m shingles can be alike at all."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -244,8 +250,9 @@ def components(links: DataFrame) -> DataFrame:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
-        before = now
+        before, old = now, edges
         edges = stored(step(step(edges, True), False), "edges")
+        drop(old)
     pairs = edges.select(F.col("x").alias("id"), F.col("y").alias("component"))
     return pairs.union(edges.select(F.col("y").alias("id"), F.col("y").alias("component")).distinct())
 
@@ -271,7 +278,7 @@ def apart(shared: DataFrame, comp: DataFrame) -> DataFrame:
     return placed.select("key", "id", "comp", F.explode(F.when(F.col("away"), F.concat(among, to_main)).otherwise(from_main)).alias("x")).select("key", "id", "comp", "x.*")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
     Texts lower-case A-Z; words are runs of anything but white space; a text of fewer than k words has its whole sequence
@@ -282,6 +289,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     per_band = band_rows(percent / 100)
     docs = docs.select("doc_id", "text")
     rows = stored(docs.mapInArrow(sketched(k), "doc_id long, n long, a long, b long, sig binary"), "sketches")
+    counts = stored(rows.select("doc_id", "n"), "counts")
     real = rows.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = stored(real.groupBy("a", "b").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
     total = classes.agg(F.sum("copies")).first()[0] or 0
@@ -291,25 +299,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     named = real.select("doc_id", "a", "b")
     others = named.join(often, ["a", "b"], "left_anti").join(classes.where(~common).select("a", "b", "id"), ["a", "b"])
     members = stored(named.join(often, ["a", "b"]).union(others.select("a", "b", "doc_id", "id")).select("doc_id", "id").distinct(), "members")
-    classes = classes.select("a", "b", "id")
-    heads = members.select("id").distinct()
-    sigs = real.join(heads.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").join(classes.withColumnRenamed("id", "doc_id"), ["doc_id", "a", "b"], "left_semi")
-    sigs = sigs.select(F.col("doc_id").alias("id"), "sig").dropDuplicates(["id", "sig"])
-    sigs = stored(sigs, "signatures")
-    bands = sigs.mapInArrow(banded(per_band), "id long, key long")
+    # The row of a class's smallest id stands for it; repeated rows are alike in all that is taken.
+    sigs = real.join(classes.select(F.col("id").alias("doc_id"), "a", "b"), ["doc_id", "a", "b"], "left_semi").dropDuplicates(["doc_id", "a", "b"])
+    sigs = stored(sigs.select(F.col("doc_id").alias("id"), "n", "sig"), "signatures")
+    drop(rows, classes)
+    bands = sigs.select("id", "sig").mapInArrow(banded(per_band), "id long, key long")
     bands = stored(bands.join(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "bands")
     # The member that shares the most leads its buckets: in a group of edited copies that is mostly their original.
     degree = bands.groupBy("id").agg(F.sum("size").alias("degree"))
-    ranked = stored(bands.join(degree, "id"), "ranked")
+    ranked = stored(bands.select("id", "key").join(degree, "id"), "ranked")
+    drop(bands)
     hubs = ranked.groupBy("key").agg(F.min(F.struct(-F.col("degree"), F.col("id").alias("hub"))).alias("x")).select("key", "x.hub")
     shared = stored(ranked.select("key", "id").join(hubs, "key"), "shared")
+    drop(ranked)
     need = least_matches(percent / 100)
     met = sigs.join(small(shared.select("id").distinct()), "id", "left_semi")
     stars = shared.where("id != hub").select(F.least("hub", "id").alias("x"), F.greatest("hub", "id").alias("y")).distinct()
-    pairs = stars.join(met.select(F.col("id").alias("x"), F.col("sig").alias("sig_x")), "x").join(met.select(F.col("id").alias("y"), F.col("sig").alias("sig_y")), "y")
-    pairs = stored(pairs.mapInArrow(prune_pairs(need), "x long, y long"), "pairs")
+    side = lambda name: met.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}"))
+    pairs = stars.join(side("x"), "x").join(side("y"), "y").where(comparable(F.col("n_x"), F.col("n_y"), percent))
+    pairs = stored(pairs.select("x", "y", "sig_x", "sig_y").mapInArrow(prune_pairs(need), "x long, y long"), "pairs")
+    drop(sigs)
     reps = docs.where(F.col("doc_id").isNotNull())
-    links = stored(verified(reps, pairs, k, percent), "links")
+    links = verified(reps, pairs, k, percent)
+    drop(pairs)
     comp = components(links)
     # First every member's likeliest partner outside its component, and then whatever still is apart.
     further, met = least_matches(percent / 100, hashes=FURTHER), None
@@ -318,20 +330,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
         if not tiles.limit(1).count():
             break
         if met is None:  # later tiles have no other members
-            met = reps.join(small(tiles.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi").mapInArrow(byte_signatures(k, per_band), "id long, sig binary, keys binary")
+            met = reps.join(small(tiles.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi").mapInArrow(byte_signatures(k, per_band), "id long, n long, sig binary, keys binary")
             met = stored(met.where("sig is not null").dropDuplicates(["id", "sig"]), "met")
-        late = tiles.join(met, "id").groupBy("key", "kind", "i", "j").applyInArrow(prune_tile(further, likeliest, HASHES // per_band), "x long, y long")
+        late = tiles.join(met, "id").groupBy("key", "kind", "i", "j").applyInArrow(prune_tile(further, likeliest, HASHES // per_band, percent), "x long, y long")
         late = stored(late.distinct(), "apart")
+        drop(tiles)
         if late.limit(1).count():
             links = stored(links.union(verified(reps, late, k, percent)), "links")
             comp = components(links)
-    mapped = members.join(comp, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id"))
+    drop(shared, *([met] if met is not None else []))
+    mapped = stored(members.join(comp, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id")), "mapped")
     # A doc_id of several classes joins them all.
     several = mapped.groupBy("doc_id").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi"))
-    split = stored(several.where("lo != hi"), "split")
-    if split.limit(1).count():
+    if several.where("lo != hi").limit(1).count():
         joined = components(members.select(F.col("doc_id").alias("x"), F.col("id").alias("y")).union(links.select("x", "y")))
         several = members.select("doc_id").distinct().join(joined.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("lo"))
-    out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(several.select("doc_id", "lo"), "doc_id", "left")
+    out = counts.select("doc_id", F.col("n").alias("n_shingles")).join(several.select("doc_id", "lo"), "doc_id", "left")
     component = F.coalesce("lo", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -2,13 +2,13 @@
 
 Every run of ``width`` words holds a whole aligned block of (width + 1) // 2 words of the document that it is in. So the
 aligned, non-overlapping blocks of all documents are indexed, and every rolling window of a block's length is probed. A hit
-is extended to all windows of ``width`` words around it, which are compared by 128-bit hashes over all documents; runs of
-repeated windows are maximal exact repeats.
+is extended to all windows of ``width`` words around it, which are compared over all documents by two independent 64-bit
+hashes; runs of repeated windows are maximal exact repeats.
 
-Documents are dealt by id into chunks of a few MB and written once, bucketed by chunk. A chunk sends each of its distinct
+Rows are dealt evenly into chunks of a few MB and written once, bucketed by chunk. A chunk sends each of its distinct
 hashes once, packed by hash range (slot), whatever the number of its documents that have it; a slot answers each chunk with
-the hashes that count. So a passage that all documents share costs a few bytes a chunk, no pairs of documents are ever made,
-and documents and answers meet by chunk without moving the texts again.
+the hashes that count, also those that only documents of that chunk have. So a passage that all documents share costs a few
+bytes a chunk, no pairs of documents are ever made, and documents and answers meet by chunk without moving the texts again.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import input_bytes, parts, scratch
-from .textkit import BASES, U, Words, packed, running, spans, unpacked
+from .base import delete, drop, input_bytes, parts, scratch, stored
+from .textkit import U, Words, packed, rolling, unpacked
 
 #: Bits of a hash that a probe carries beside its slot.
 REST = 30
@@ -37,13 +37,12 @@ class Chunk:
 
     def __init__(self, table: pa.Table):
         self.words = w = Words(table.column("text"))
-        self.h = w.hashes()
         self.row = w.rows()
         ids = table.column("doc_id")
         self.known = ids.is_valid().to_numpy(zero_copy_only=False)
         self.ids = ids.fill_null(0).to_numpy()
         self.left = w.first[1:][self.row] - np.arange(len(w))  # words from here to the document's end
-        self.sums = running(self.h, BASES[0])
+        self.h = w.hashes()
 
     def starts(self, size: int) -> np.ndarray:
         return np.flatnonzero((self.left >= size) & self.known[self.row]) if len(self.row) else np.zeros(0, np.int64)
@@ -53,10 +52,11 @@ class Chunk:
         at = self.starts(block)
         length = np.diff(self.words.first)
         at = at[length[self.row[at]] >= width] if len(at) else at
-        return at, spans(self.sums, BASES[0], at, at + block) >> U(64 - bits - REST)
+        return at, rolling(self.h, block)[at] >> U(64 - bits - REST)
 
     def windows(self, at: np.ndarray, width: int):
-        return spans(self.sums, BASES[0], at, at + width), spans(running(self.h, BASES[1]), BASES[1], at, at + width)
+        """Both hashes of windows; the last bit of the second is left free."""
+        return rolling(self.h, width)[at], rolling(self.words.hashes(1), width, 1)[at] & ~U(1)
 
 
 def chunk_of(table: pa.Table) -> int:
@@ -111,9 +111,15 @@ def match_blocks(table: pa.Table) -> pa.Table:
     return answer(rows, good, key, table)
 
 
+#: A window and the smallest id that has it. The last bit of b: several ids of the chunk have it.
 WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("id", "<i8")])
 
 
+def window_edges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where runs of equal windows begin in sorted hashes."""
+    return np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+
+
 def candidate_windows(width: int, block: int, bits: int):
     def send(table: pa.Table, hits: pa.Table) -> pa.Table:
         """Each distinct window around a hit with the smallest id that has it in this chunk."""
@@ -135,52 +141,56 @@ def candidate_windows(width: int, block: int, bits: int):
         ids = c.ids[c.row[starts]]
         order = np.lexsort((ids, b, a))
         a, b, ids = a[order], b[order], ids[order]
-        first = np.ones(len(a), bool)
-        first[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        out = np.empty(int(first.sum()), WINDOW)
-        out["a"], out["b"], out["id"] = a[first], b[first], ids[first]
+        edge = window_edges(a, b)
+        if not len(edge):
+            return empty
+        out = np.empty(len(edge), WINDOW)
+        out["a"], out["b"], out["id"] = a[edge], b[edge], ids[edge]
+        out["b"] |= (ids[np.append(edge[1:], len(ids)) - 1] != ids[edge]).astype(U)
         return by_slot(chunk_of(table), out["a"] >> U(64 - bits), out, ("chunk", "slot", "keys"))
 
     return send
 
 
-PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
-
-
 def match_windows(table: pa.Table) -> pa.Table:
-    """The windows that a document outside the chunk, with a smaller id than any in it, has too."""
+    """For each chunk the windows that a smaller id than one of its own has, here or elsewhere, with the smallest id."""
     values, rows = unpacked(table.column("keys"), WINDOW)
-    order = np.lexsort((values["b"], values["a"]))
-    s = values[order]
-    edge = np.flatnonzero(np.concatenate([[True], (s["a"][1:] != s["a"][:-1]) | (s["b"][1:] != s["b"][:-1])]))
-    least = np.repeat(np.minimum.reduceat(s["id"], edge), np.diff(np.append(edge, len(s))))
-    good = np.empty(len(s), bool)
-    good[order] = least < s["id"]
-    out = np.empty(len(values), PAIR)
-    out["a"], out["b"] = values["a"], values["b"]
-    return answer(rows, good, out, table)
+    a, b = values["a"], values["b"] & ~U(1)
+    order = np.lexsort((b, a))
+    edge = window_edges(a[order], b[order])
+    out = np.empty(len(values), WINDOW)
+    out["a"], out["b"] = a, b
+    out["id"][order] = np.repeat(np.minimum.reduceat(values["id"][order], edge), np.diff(np.append(edge, len(values))))
+    return answer(rows, (out["id"] < values["id"]) | (values["b"] & U(1) > 0), out, table)
+
+
+def smallest_ids(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each window is among the found ones, and the smallest id that has it."""
+    found = found[np.lexsort((found["b"], found["a"]))]
+    known, ids = np.zeros(len(a), bool), np.zeros(len(a), np.int64)
+    if len(found) and len(a):
+        edge = group_edges(found["a"])
+        place = np.searchsorted(found["a"], a)
+        for i in range(int(np.diff(np.append(edge, len(found))).max())):  # once, but for windows that differ in b alone
+            at = np.minimum(place + i, len(found) - 1)
+            same = (found["a"][at] == a) & (found["b"][at] == b)
+            known |= same
+            ids[same] = found["id"][at[same]]
+    return known, ids
 
 
 RESULT = "doc_id long, n_words long, n_removed long, text string, spans array<struct<start:int,end:int>>"
 
 
-def removal(width: int, keep_spans: bool = True):
+def removal(width: int):
     def cut(table: pa.Table, hits: pa.Table) -> pa.Table:
         c = Chunk(table)
         first = c.words.first
-        starts = c.starts(width)
-        a, b = c.windows(starts, width)
-        ids = c.ids[c.row[starts]]
-        # Within the chunk: another document of it with a smaller id has the window.
-        order = np.lexsort((ids, b, a))
-        edge = np.flatnonzero(np.concatenate([[True], (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])])) if len(a) else np.zeros(0, np.int64)
-        repeated = np.zeros(len(a), bool)
-        if len(a):
-            repeated[order] = ids[order] > np.repeat(ids[order][edge], np.diff(np.append(edge, len(a))))
-        if len(hits) and len(a):
-            found, _ = unpacked(hits.column("hits"), PAIR)
-            both = mix_pair(found["a"], found["b"])
-            repeated |= np.isin(mix_pair(a, b), both)
+        starts = c.starts(width) if len(hits) else np.zeros(0, np.int64)
+        repeated = np.zeros(0, bool)
+        if len(starts):
+            known, least = smallest_ids(unpacked(hits.column("hits"), WINDOW)[0], *c.windows(starts, width))
+            repeated = known & (least < c.ids[c.row[starts]])
         cover = np.zeros(len(c.row) + 1, np.int32)
         np.add.at(cover, starts[repeated], 1)
         np.add.at(cover, starts[repeated] + width, -1)
@@ -208,13 +218,6 @@ def removal(width: int, keep_spans: bool = True):
     return cut
 
 
-def mix_pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Both hashes of a window as one comparable value of 16 bytes."""
-    both = np.empty(len(a), PAIR)
-    both["a"], both["b"] = a, b
-    return both.view("V16") if len(a) else both
-
-
 def remove_repeats(docs: DataFrame, width: int = 50, chunk_mb: int = 4) -> DataFrame:
     """doc_id, n_words, n_removed, text (the kept words, joined by a space) and spans (of removed words: from start to
     before end) for every row of docs.
@@ -222,7 +225,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, chunk_mb: int = 4) -> DataF
     A word goes when a window of ``width`` words that covers it also starts in a document with a smaller doc_id. Null and
     blank texts have no words and keep an empty text. A row without doc_id has no place in the order: it loses nothing
     and nothing is lost for it. Rows that share a doc_id are not compared with each other. Other columns are ignored. An
-    empty table gives no rows.
+    empty table gives no rows. The result is stored.
     """
     spark, block = docs.sparkSession, (width + 1) // 2
     n = parts(docs)
@@ -230,17 +233,25 @@ def remove_repeats(docs: DataFrame, width: int = 50, chunk_mb: int = 4) -> DataF
     chunks = max(n, size // (chunk_mb << 19))
     bits = max(8, int(size // (4 << 20)).bit_length())
     name = f"chunked_{uuid.uuid4().hex}"
-    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(int(chunks))).alias("chunk"))
+    # Any dealing will do, as windows are compared by id wherever they are; so no id fills a chunk, however often it comes.
+    dealt = docs.select("doc_id", "text", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(int(chunks))).alias("chunk"))
     path = scratch(spark, "chunked")
     dealt.repartition(n, "chunk").write.option("path", f"{path}/t").option("compression", "zstd").bucketBy(n, "chunk").sortBy("chunk").saveAsTable(name)
-    chunked = lambda: spark.table(name).select("chunk", "doc_id", "text")
-    sent = "chunk long, slot long, keys binary"
-    replied = "chunk long, slot long, hits binary"
-    keys = chunked().groupBy("chunk").applyInArrow(probes(width, block, bits), sent)
-    hits = with_slot(keys, match_blocks, replied)
-    windows = chunked().groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(candidate_windows(width, block, bits), sent)
-    repeats = with_slot(windows, match_windows, replied)
-    return chunked().groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInArrow(removal(width), RESULT)
+    try:
+        chunked = lambda: spark.table(name).select("chunk", "doc_id", "text")
+        sent = "chunk long, slot long, keys binary"
+        replied = "chunk long, slot long, hits binary"
+        keys = chunked().groupBy("chunk").applyInArrow(probes(width, block, bits), sent)
+        hits = stored(with_slot(keys, match_blocks, replied), "hits")
+        windows = chunked().groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInArrow(candidate_windows(width, block, bits), sent)
+        repeats = stored(with_slot(windows, match_windows, replied), "repeats")
+        drop(hits)
+        out = stored(chunked().groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInArrow(removal(width), RESULT), "kept")
+        drop(repeats)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(spark, path)
+    return out
 
 
 def with_slot(sent: DataFrame, match, schema: str) -> DataFrame:

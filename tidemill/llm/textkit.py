@@ -1,7 +1,8 @@
 """Vectorised words, word hashes and rolling window hashes over Arrow string columns.
 
-A window's hash is a polynomial over its words' hashes modulo 2**64, from differences of running sums, so that any
-number of windows costs one pass. Word hashes are polynomials over bytes, mixed; long words take BLAKE2b.
+Word hashes are mixed polynomials over bytes modulo 2**64, from differences of running sums over segments of bounded
+size; long words take BLAKE2b. A window's hash is a polynomial over its words' hashes, put together from windows of half
+the size, so that it costs a few passes and no tables.
 """
 
 from __future__ import annotations
@@ -18,27 +19,27 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Words above this many bytes are hashed by BLAKE2b.
 LONG_WORD = 256
-#: Bytes that are hashed at a time.
-SEGMENT = 4 << 20
+#: Bytes that are hashed at a time: what a worker holds for it is a few dozen times as much.
+SEGMENT = 1 << 18
+#: Bytes of text that are worked on at a time; one longer text is worked on by itself.
+SLICE = 1 << 20
 U = np.uint64
-#: Odd bases of the two polynomials over words, and of the one over bytes.
+#: Odd bases of the two polynomials over words, and of the two over bytes that they are built on.
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-BYTE_BASE = 0xC2B2AE3D27D4EB4F
+BYTE_BASES = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n, kept for the next call."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
+def powers(base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo 2**64 for every place in a segment, kept for the next call."""
+    if base not in _powers:
         both = []
         for x in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, x, dtype=U)
+            p = np.full(SEGMENT + LONG_WORD, x, dtype=U)
             p[0] = 1
             both.append(np.multiply.accumulate(p))
-        have = _powers[base] = (both[0], both[1])
-    return have[0][:n], have[1][:n]
+        _powers[base] = (both[0], both[1])
+    return _powers[base]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -84,36 +85,55 @@ class Words:
         """The row of each word."""
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, which: int = 0) -> np.ndarray:
+        """A hash of each word; both values of ``which`` are independent."""
+        size = self.end - self.start
         out, at = np.empty(len(self), dtype=U), 0
-        while at < len(self):
-            to = max(at + 1, int(np.searchsorted(self.end, self.start[at] + SEGMENT, side="right")))
-            lo, hi = int(self.start[at]), int(self.end[to - 1])
-            p, inverse = powers(BYTE_BASE, hi - lo)
+        short = np.flatnonzero(size <= LONG_WORD)
+        start, end = self.start[short], self.end[short]
+        p, inverse = powers(BYTE_BASES[which])
+        while at < len(short):
+            lo = int(start[at])
+            to = int(np.searchsorted(end, lo + SEGMENT + LONG_WORD, side="right"))
+            hi = int(end[to - 1])
             sums = np.zeros(hi - lo + 1, dtype=U)
-            np.cumsum((self.data[lo:hi].astype(U) + U(1)) * p, out=sums[1:])
-            s, e = self.start[at:to] - lo, self.end[at:to] - lo
-            out[at:to] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(U) * U(0xA0761D6478BD642F))
+            part = self.data[lo:hi].astype(U)
+            part += U(1)
+            part *= p[: hi - lo]
+            np.cumsum(part, out=sums[1:])
+            s, e = start[at:to] - lo, end[at:to] - lo
+            out[short[at:to]] = mix((sums[e] - sums[s]) * inverse[s] + (e - s).astype(U) * U(0xA0761D6478BD642F))
             at = to
-        for i in np.flatnonzero(self.end - self.start > LONG_WORD):
-            out[i] = int.from_bytes(hashlib.blake2b(self.data[self.start[i] : self.end[i]].tobytes(), digest_size=8).digest(), "little")
+        for i in np.flatnonzero(size > LONG_WORD):
+            out[i] = int.from_bytes(hashlib.blake2b(self.data[self.start[i] : self.end[i]].data, digest_size=8, salt=bytes([which])).digest(), "little")
         return out
 
 
-def running(h: np.ndarray, base: int) -> np.ndarray:
-    """Running sums of the polynomial over word hashes, for spans()."""
-    sums = np.zeros(len(h) + 1, dtype=U)
-    np.cumsum(h * powers(base, len(h))[0], out=sums[1:])
-    return sums
+def rolling(h: np.ndarray, k: int, which: int = 0) -> np.ndarray:
+    """Hashes of all runs of k words, by their first word; runs may cross rows."""
+    base = BASES[which]
+    if len(h) < k:
+        return np.zeros(0, U)
+    part, m, out, have = h, 1, None, 0
+    while True:  # part: of m words, a power of two; out: of the first `have` words, by the binary digits of k
+        step = U(pow(base, m, 1 << 64))
+        if k & m:
+            out, have = (part, m) if out is None else (out[: len(h) - have - m + 1] * step + part[have:], have + m)
+        if have == k:
+            return mix(out)
+        part, m = part[:-m] * step + part[m:], 2 * m
 
 
-def spans(sums: np.ndarray, base: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the word runs from start to before end."""
-    inverse = powers(base, len(sums))[1]
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U) * U(0xE7037ED1A0B428DB))
+def sequences(h: np.ndarray, first: np.ndarray, which: int = 0) -> np.ndarray:
+    """A hash of each row's whole word sequence."""
+    n = np.diff(first)
+    place = np.arange(len(h)) - np.repeat(first[:-1], n)
+    sums = np.zeros(len(h) + 1, U)
+    np.cumsum(mix(h ^ mix(place.astype(U) * U(BASES[which]))), out=sums[1:])
+    return mix(sums[first[1:]] - sums[first[:-1]] + n.astype(U))
 
 
-def slices(batch, column: str, size: int = SEGMENT):
+def slices(batch, column: str, size: int = SLICE):
     """batch in pieces of about so many bytes of a string column; one long text is a piece of its own."""
     n = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     total, at = np.concatenate([[0], np.cumsum(n)]), 0

@@ -24,9 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import parts, scratch
+from .base import make_folder, parts, scratch
 from .textkit import U, mix, packed, slices
-from .warc import Out, make_folder
+from .warc import Out
 
 # Fixed value: the published pattern that cuts texts before byte-level BPE.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

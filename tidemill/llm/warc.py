@@ -23,7 +23,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import parts, scratch, small, stored
+from .base import make_folder, parts, scratch, small, stored
 
 #: Payloads of fewer bytes are always responses.
 LEAST_REVISIT = 100
@@ -164,11 +164,6 @@ def write_archives(pages: DataFrame, folder: str, block_lines: int = BLOCK_LINES
     return spark.read.parquet(f"{folder}/directory")
 
 
-def make_folder(spark: SparkSession, uri: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(uri)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)
-
-
 def read_range(fs, path: str, offset: int, length: int) -> bytes:
     with fs.open_input_file(path) as f:
         return f.read_at(length, offset)
