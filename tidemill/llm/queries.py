@@ -129,9 +129,9 @@ SELECT d.id AS doc_id, b.id AS item_id, n.n AS item_shingles, count(*) AS shared
 FROM s b JOIN s d ON d.s = b.s AND d.kind = 0 AND b.kind = 1 JOIN n ON n.id = b.id
 GROUP BY d.id, b.id, n.n HAVING 5 * count(*) >= 4 * n.n""",
     "op8_mix_sources": r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
-    md5('8:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+    md5('8:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, '')) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source),
 w AS (SELECT *, CAST((r - 1) % 3 + 1 AS DOUBLE) AS weight, 3.0::DOUBLE * n AS cap FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, source NULLS LAST) AS pos FROM w),
@@ -139,19 +139,30 @@ l AS (
   SELECT *, (CAST(sum(n) OVER () AS DOUBLE) - coalesce(sum(cap) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
 f AS (SELECT pos, level FROM l WHERE weight * level < cap ORDER BY pos LIMIT 1),
-t AS (SELECT source, n, CASE WHEN coalesce(pos < (SELECT pos FROM f), true) THEN cap ELSE weight * (SELECT level FROM f) END AS target FROM l),
-g AS (SELECT *, CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END AS whole FROM t),
-x AS (
-  SELECT d.*, g.n, g.target, g.whole, g.target - g.whole * g.n AS gap,
-    sum(d.size) OVER (PARTITION BY d.source ORDER BY h) AS so_far
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-c AS (SELECT source, max(gap) - coalesce(max(so_far) FILTER (so_far <= gap), 0) AS rest FROM x GROUP BY source),
+t AS (SELECT source, r, n, CASE WHEN coalesce(pos < (SELECT pos FROM f), true) THEN cap ELSE weight * (SELECT level FROM f) END AS target FROM l),
+g AS (SELECT *, target - whole * n AS gap FROM (SELECT *, CASE WHEN n > 0 THEN floor(target / n) ELSE 0 END AS whole FROM t)),
+x AS (SELECT d.*, g.r, row_number() OVER (PARTITION BY g.r ORDER BY h) AS pos FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+c AS (
+  SELECT 0 AS round, r, CAST(0 AS BIGINT) AS start, CAST('inf' AS DOUBLE) AS most, CAST(gap AS DOUBLE) AS rest FROM g
+  UNION ALL
+  SELECT round + 1, r, stop, least(left_, most / 2), left_ FROM (
+    SELECT round, r, most, min(pos) FILTER (sum > rest) AS stop, rest - coalesce(max(sum) FILTER (sum <= rest), 0) AS left_ FROM (
+      SELECT c.*, x.pos, CAST(sum(x.size) OVER (PARTITION BY c.r ORDER BY x.pos) AS BIGINT) AS sum
+      FROM c JOIN x ON x.r = c.r AND x.pos > c.start AND x.size <= c.most) GROUP BY round, r, most, rest)
+  WHERE stop IS NOT NULL AND least(left_, most / 2) >= 1),
 k AS (
-  SELECT x.source, arg_min(h, (abs(x.size - rest), h)) AS pick FROM x JOIN c ON x.source IS NOT DISTINCT FROM c.source
-  WHERE so_far > gap AND x.size > 0 AND abs(x.size - rest) < rest GROUP BY x.source),
-m AS (
-  SELECT x.*, CAST(whole AS BIGINT) + CASE WHEN so_far <= gap AND n > 0 OR h = pick THEN 1 ELSE 0 END AS copies
-  FROM x LEFT JOIN k ON x.source IS NOT DISTINCT FROM k.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, n AS source_size, target, CAST(size * copies AS BIGINT) AS taken, source,
-  CAST(CASE WHEN size > 0 THEN copies ELSE 0 END AS BIGINT) AS copies FROM m""",
+  SELECT c.r, c.round, c.rest, x.pos, x.size, CAST(sum(x.size) OVER (PARTITION BY c.r, c.round ORDER BY x.pos) AS BIGINT) AS sum
+  FROM c JOIN x ON x.r = c.r AND x.pos > c.start AND x.size <= c.most),
+taken AS (SELECT DISTINCT r, pos FROM k WHERE sum <= rest),
+e AS (
+  SELECT r, min(left_) AS rest FROM (
+    SELECT c.r, c.round, c.rest - coalesce(max(k.sum) FILTER (k.sum <= c.rest), 0) AS left_ FROM c LEFT JOIN k ON k.r = c.r AND k.round = c.round GROUP BY c.r, c.round, c.rest)
+  GROUP BY r),
+p AS (
+  SELECT x.r, arg_min(x.pos, (abs(x.size - e.rest), x.h, x.pos)) AS pos FROM x JOIN e ON e.r = x.r
+  WHERE x.size > 0 AND abs(x.size - e.rest) < e.rest AND NOT EXISTS (SELECT 1 FROM taken WHERE taken.r = x.r AND taken.pos = x.pos) GROUP BY x.r),
+m AS (SELECT r, pos FROM taken UNION SELECT r, pos FROM p)
+SELECT doc_id, CAST(size AS BIGINT) AS size, n AS source_size, target, CAST(size * copies AS BIGINT) AS taken, source, copies FROM (
+  SELECT x.*, g.n, g.target, CAST(g.whole AS BIGINT) + CASE WHEN size > 0 AND m.pos IS NOT NULL THEN 1 ELSE 0 END AS copies
+  FROM x JOIN g ON g.r = x.r LEFT JOIN m ON m.r = x.r AND m.pos = x.pos)""",
 }
