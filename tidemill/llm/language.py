@@ -5,8 +5,8 @@ over the n-grams learns to predict it. Decoding weighs every bit by the loss tha
 bit, and takes the language with the smallest sum; the score is that language's share after exponentiating the negative
 sums, and a text whose best share stays below ``clear`` is flagged as ambiguous.
 
-The classifiers are fitted on the driver from a sample of at most about ``per_class`` labelled documents a language, chosen
-by a hash of doc_id, as vectors of fixed size. Predictions read whole texts.
+The classifiers are fitted on the driver from a sample of at most about ``per_class`` labelled documents a language, and
+``most`` in all, chosen by a hash of id and text, as vectors of fixed size. Predictions read whole texts.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import small
+from .base import small, stored
 from .textkit import SEGMENT, slices
 
 DIM = 4096
@@ -103,12 +103,17 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, per_class: int = 500, seed: int = 6) -> dict:
-    """The model: languages in code-point order, their codewords, weights and offsets."""
+def train(docs: DataFrame, per_class: int = 500, most: int = 10_000, seed: int = 6) -> dict:
+    """The model: languages in code-point order, their codewords, weights and offsets.
+
+    Rows without text, label or id teach nothing, nor do held-out ones, texts without a letter and further columns; repeated
+    rows count once. The model of an empty table has no languages.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "text", "lang")
-    limits = known.groupBy("lang").agg((F.lit(float(per_class)) / F.count("*")).alias("share"))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.join(small(limits), "lang").where(place < F.col("share")).select("lang", "text")
+    counts = stored(known.groupBy("lang").agg(F.count("*").alias("n")), "labels")
+    each = min(float(per_class), most / max(1, counts.count()))
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    sample = known.join(small(counts), "lang").where(place * F.col("n") < each).select("lang", "text").distinct()
 
     def run(batches):
         for batch in batches:
@@ -143,7 +148,7 @@ def decode(model: dict, texts: pa.Array, clear: float) -> tuple[list, np.ndarray
 
 
 def identify(docs: DataFrame, model: dict, clear: float = 0.5) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, ambiguous for every row of docs.
+    """doc_id, held_out, lang_pred, score, ambiguous for every row of docs; other columns are ignored.
 
     A text that is null or has no letter is ``und`` with score 0 and ambiguous, as is every text when nothing could be
     learned. With one language learned, all texts with letters are of it. Labels, sources and ids are not looked at. Equal
@@ -160,7 +165,8 @@ def identify(docs: DataFrame, model: dict, clear: float = 0.5) -> DataFrame:
 
 
 def known_language(docs: DataFrame, model: dict, clear: float = 0.5) -> DataFrame:
-    """The rows of docs, with all their columns, whose language is told without ambiguity."""
+    """The rows of docs, with all their columns, whose language is told without ambiguity. See identify: texts that are null or
+    have no letter go, repeated rows are judged alike, and an empty table gives no rows."""
     names = docs.columns
     at = names.index("text")
 
