@@ -5,15 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only if a count shows at most so many rows.
-BROADCAST_ROWS = 1_000_000
-
-
-def build_side(df: DataFrame, rows: int = BROADCAST_ROWS, known: int | None = None) -> DataFrame:
-    """df marked for broadcast if it is known, or counted, to be small; else as it is, for a shuffled join."""
-    size = known if known is not None else df.limit(rows + 1).count()
-    return F.broadcast(df) if size <= rows else df
-
 
 def semi_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Rows of left whose key is in right: no row twice, null keys never."""

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import ratio, revenue, total
-from ..operators.relational import histogram, semi_join
+from ..operators.relational import histogram
+from ..operators.statistics import median_of_counts, medians
 from ..sources.footers import footers
 from ..sources.tables import read
 from . import shipping
@@ -41,21 +43,28 @@ def segment_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("c_mktsegment", "n", (F.lit(100.0).cast("double") * F.col("n") / F.sum("n").over(Window.partitionBy())).alias("pct"))
 
 
+def marked(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """df with column found: whether its key is among the keys."""
+    keys = keys.toDF("found_key").distinct().withColumn("found", F.lit(True))
+    return df.join(keys, df[key] == keys["found_key"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
 def filter_selectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, o, li = (read(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
-    kept = shipping.qualified_orders(spark, sf_dir)
-    flagged = o.select((F.col("o_orderdate") < cut()).alias("hit"))
-    shipped = li.where(F.col("l_shipdate") > cut())
+    """Rows before and after each filter: one pass over each table, with the keys that its semi-join looks for."""
+    early, late = F.col("o_orderdate") < cut(), F.col("l_shipdate") > cut()
+    c = read(spark, sf_dir, "customer").select((F.col("c_mktsegment") == shipping.Parameters().segment).alias("hit"))
+    o = marked(read(spark, sf_dir, "orders"), "o_custkey", shipping.customers(spark, sf_dir).select("c_custkey"))
+    li = marked(read(spark, sf_dir, "lineitem"), "l_orderkey", shipping.qualified_orders(spark, sf_dir).select("o_orderkey"))
 
-    def stage(name: str, rows: DataFrame, hits: DataFrame) -> DataFrame:
-        return rows.agg(F.count("*").alias("rows_in")).crossJoin(hits.agg(F.count("*").alias("rows_out"))).select(F.lit(name).alias("stage"), "rows_in", "rows_out", ratio(F.col("rows_out"), F.col("rows_in")).alias("selectivity"))
+    def stages(df: DataFrame, **hits: Column) -> DataFrame:
+        counts = df.agg(F.count("*").alias("rows_in"), *(F.count_if(hit).alias(name) for name, hit in hits.items()))
+        each = F.explode(F.array(*(F.struct(F.lit(name).alias("stage"), F.col(name).alias("rows_out")) for name in hits))).alias("x")
+        return counts.select("rows_in", each).select("x.stage", "rows_in", "x.rows_out", ratio(F.col("x.rows_out"), F.col("rows_in")).alias("selectivity"))
 
     return union([
-        stage("customer_segment", c, shipping.customers(spark, sf_dir)),
-        stage("orders_date", o, flagged.where("hit")),
-        stage("orders_date_semi", o, kept),
-        stage("lineitem_shipdate", li, shipped),
-        stage("lineitem_shipdate_join", li, semi_join(shipped, kept, "l_orderkey", "o_orderkey")),
+        stages(c, customer_segment=F.col("hit")),
+        stages(o, orders_date=early, orders_date_semi=early & F.col("found")),
+        stages(li, lineitem_shipdate=late, lineitem_shipdate_join=late & F.col("found")),
     ])
 
 
@@ -64,10 +73,16 @@ def per_key(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame
 
 
 def fanout(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:
-    return per_key(spark, sf_dir, table, key).agg(
-        F.count("*").alias("n_keys"), F.min("n").alias("min_n"), F.max("n").alias("max_n"), F.round(F.avg("n"), 6).alias("mean_n"),
-        F.round(F.stddev_pop("n"), 6).alias("stddev_n"), F.median("n").alias("median_n"),
+    """Rows per key. All is computed from how many keys have how many rows, which is short."""
+    c = per_key(spark, sf_dir, table, key).groupBy("n").agg(F.count("*").alias("keys"))
+    keys, rows = F.sum("keys"), F.sum(F.col("n") * F.col("keys"))
+    whole = Window.partitionBy()
+    mean = F.sum(F.col("n") * F.col("keys")).over(whole) / F.sum("keys").over(whole)
+    spread = c.withColumn("off", (F.col("n") - mean) ** 2 * F.col("keys"))
+    stats = spread.agg(
+        keys.alias("n_keys"), F.min("n").alias("min_n"), F.max("n").alias("max_n"), F.round(rows / keys, 6).alias("mean_n"), F.round(F.sqrt(F.sum("off") / keys), 6).alias("stddev_n"),
     )
+    return stats.join(F.broadcast(median_of_counts(c, "n", "keys").withColumnRenamed("median", "median_n")))
 
 
 def density(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +95,9 @@ def density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def memory_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Megabytes that a dictionary, a directly indexed array and a sorted array of a tenth of the order keys take."""
+    """Megabytes that a dictionary, a directly indexed array and a sorted array of a tenth of the order keys take.
+
+    Fixed values, of the report: 100 bytes for an entry of a dictionary, 16 for one of a direct index, 8 for one of an array."""
     x = density(spark, sf_dir).where(F.col("key") == "o_orderkey").withColumn("est", F.expr("n_distinct div 10"))
     return x.select(F.col("est").alias("est_entries"), F.expr("est * 100 div 1048576 + 1").alias("dict_mb"), F.expr("key_range * 16 div 1048576").alias("direct_mb"), F.expr("est * 8 div 1048576 + 1").alias("sorted_mb"))
 
@@ -93,13 +110,18 @@ def gap_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distribution of prices, discounts and revenues: one pass for all, and those that the medians take."""
     li = read(spark, sf_dir, "lineitem").select(F.col("l_extendedprice").cast("decimal(12,2)").alias("price"), F.col("l_discount").cast("decimal(4,2)").alias("discount"), revenue().alias("revenue"))
+    middle = medians(li, li.columns)
 
-    def one(name: str) -> DataFrame:
+    def one(name: str) -> Column:
         v = F.col(name).cast("double")
-        return li.agg(F.min(v).alias("min_v"), F.max(v).alias("max_v"), F.round(total(F.col(name)) / F.count(name), 6).alias("mean_v"), F.round(F.stddev_pop(v), 4).alias("stddev_v"), F.round(F.median(v), 6).alias("median_v")).select(F.lit(name).alias("measure"), "*")
+        return F.struct(
+            F.lit(name).alias("measure"), F.min(v).alias("min_v"), F.max(v).alias("max_v"), F.round(total(F.col(name)) / F.count(name), 6).alias("mean_v"),
+            F.round(F.stddev_pop(v), 4).alias("stddev_v"), F.round(F.lit(middle[name]).cast("double"), 6).alias("median_v"),
+        ).alias(name)
 
-    return union([one("price"), one("discount"), one("revenue")])
+    return li.agg(*map(one, li.columns)).select(F.explode(F.array(*li.columns)).alias("x")).select("x.*")
 
 
 def discount_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +134,15 @@ def order_revenues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_revenue_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("r").cast("double")
-    return order_revenues(spark, sf_dir).agg(F.count("*").alias("n_orders"), F.min(v).alias("min_v"), F.max(v).alias("max_v"), F.round(total(F.col("r")) / F.count("*"), 6).alias("mean_v"), F.round(F.median(v), 6).alias("median_v"))
+    orders = order_revenues(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)  # for the passes of the median
+    try:
+        middle = medians(orders, ["r"])["r"]
+        stats = orders.agg(F.count("*").alias("n_orders"), F.min(v).alias("min_v"), F.max(v).alias("max_v"), F.round(total(F.col("r")) / F.count("*"), 6).alias("mean_v")).first()
+    finally:
+        orders.unpersist()
+    row = (stats.n_orders, stats.min_v, stats.max_v, stats.mean_v, middle)
+    out = spark.createDataFrame([row], "n_orders long, min_v double, max_v double, mean_v double, median_v double")
+    return out.withColumn("median_v", F.round("median_v", 6))
 
 
 def kth_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,10 +164,15 @@ def monthly_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return months.join(F.broadcast(counts), "month", "left").select("month", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = [read(spark, sf_dir, t).agg(F.count("*").alias(f"{t}_rows")) for t in NEEDED]
-    kept = read(spark, sf_dir, "lineitem").where(F.col("l_shipdate") > cut()).agg(F.count("*").alias("lineitem_filtered"))
-    return reduce(DataFrame.crossJoin, [*counts, kept])
+def scaling(spark: SparkSession, *sf_dirs: str) -> DataFrame:
+    """Rows of the tables, and lineitems after the filter, of each scale factor in order: one pass a table."""
+    out = []
+    for sf_dir in sf_dirs:
+        counts = [read(spark, sf_dir, t).agg(F.lit(f"{t}_rows").alias("name"), F.count("*").alias("n"), F.lit(None).cast("long").alias("kept")) for t in ("customer", "orders")]
+        counts.append(read(spark, sf_dir, "lineitem").agg(F.lit("lineitem_rows").alias("name"), F.count("*").alias("n"), F.count_if(F.col("l_shipdate") > cut()).alias("kept")))
+        each = [F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in ("customer_rows", "orders_rows", "lineitem_rows")]
+        out.append(union(counts).agg(*each, F.max("kept").alias("lineitem_filtered")))
+    return union(out)
 
 
 def parquet_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,32 +180,50 @@ def parquet_row_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parquet_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows, row groups and bytes of each table, its compression, and the share of the columns that the query reads."""
+    """File size in MiB, rows, row groups and bytes of each table, its compression, the share of the columns that the query
+    reads and the MiB that projection saves; and a row for the total of the files."""
     rows = parquet_row_groups(spark, sf_dir)
     needed = F.lit(False)
     for t, columns in NEEDED.items():
         needed = needed | ((F.col("table_name") == t) & F.col("column_name").isin(columns))
     groups = rows.groupBy("table_name", "file", "row_group").agg(
-        F.first("group_rows").alias("rows"), F.count("*").alias("cols"), F.sum("compressed").alias("c"), F.sum("uncompressed").alias("u"), F.sum(F.when(needed, F.col("compressed")).otherwise(0)).alias("q")
+        F.first("file_bytes").alias("file_bytes"), F.first("group_rows").alias("rows"), F.count("*").alias("cols"), F.sum("compressed").alias("c"), F.sum("uncompressed").alias("u"), F.sum(F.when(needed, F.col("compressed")).otherwise(0)).alias("q")
     )
-    return groups.groupBy("table_name").agg(
-        F.sum("rows").alias("n_rows"), F.count("*").alias("n_groups"), F.max("cols").alias("n_columns"), F.min("rows").alias("min_group_rows"), F.max("rows").alias("max_group_rows"), F.avg("rows").alias("avg_group_rows"),
+    mib = lambda x: x / F.lit(1024.0 * 1024.0)
+    file_mib = mib(F.sum(F.when(F.col("row_group") == 0, F.col("file_bytes")).otherwise(0))).alias("file_mib")
+    tables = groups.groupBy("table_name").agg(
+        file_mib, F.sum("rows").alias("n_rows"), F.count("*").alias("n_groups"), F.max("cols").alias("n_columns"), F.min("rows").alias("min_group_rows"), F.max("rows").alias("max_group_rows"), F.avg("rows").alias("avg_group_rows"),
         F.sum("c").alias("compressed"), F.sum("u").alias("uncompressed"), ratio(F.sum("u"), F.sum("c")).alias("compression"), F.sum("q").alias("needed_bytes"), ratio(F.sum("q"), F.sum("c")).alias("needed_share"),
+        mib(F.sum("c") - F.sum("q")).alias("saved_mib"),
     )
+    return tables.unionByName(groups.agg(F.lit("TOTAL").alias("table_name"), file_mib), allowMissingColumns=True)
+
+
+# The columns that the report looks at, by table.
+SORT_COLUMNS = {"customer": ["c_custkey", "c_mktsegment"], "orders": ["o_orderkey", "o_custkey", "o_orderdate"], "lineitem": ["l_orderkey", "l_shipdate"]}
 
 
 def parquet_sort_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the row groups' ranges of the date columns are apart: sorted, partly or unsorted, and how many groups the
-    cut-off skips."""
-    rows = parquet_row_groups(spark, sf_dir).where(F.col("column_name").isin("o_orderdate", "l_shipdate") & F.col("min_value").isNotNull())
+    """Whether the row groups' ranges of a column are apart (sorted, partly or unsorted), the first and last range, and how
+    many groups the query's cut-off skips (null for columns that it does not filter)."""
+    wanted = F.lit(False)
+    for t, columns in SORT_COLUMNS.items():
+        wanted = wanted | ((F.col("table_name") == t) & F.col("column_name").isin(columns))
+    rows = parquet_row_groups(spark, sf_dir).where(wanted & F.col("min_value").isNotNull())
     order = Window.partitionBy("table_name", "column_name").orderBy("file", "row_group")
-    rows = rows.withColumn("overlap", F.coalesce((F.col("min_value") <= F.lag("max_value").over(order)).cast("int"), F.lit(0)))
-    skip = F.when(F.col("column_name") == "o_orderdate", F.col("min_value") >= str(CUT)).otherwise(F.col("max_value") <= str(CUT))
-    out = rows.groupBy("table_name", "column_name").agg(F.count("*").alias("n_groups"), F.sum("overlap").cast("long").alias("overlaps"), F.count_if(skip).alias("skippable"))
+    below = F.coalesce(F.col("min_number") <= F.lag("max_number").over(order), F.col("min_value") <= F.lag("max_value").over(order))
+    rows = rows.withColumn("overlap", F.coalesce(below.cast("int"), F.lit(0)))
+    skip = F.when(F.col("column_name") == "o_orderdate", F.col("min_value") >= str(CUT)).when(F.col("column_name") == "l_shipdate", F.col("max_value") <= str(CUT))
+    place, span = F.struct("file", "row_group"), F.concat_ws("..", "min_value", "max_value")
+    out = rows.groupBy("table_name", "column_name").agg(
+        F.count("*").alias("n_groups"), F.sum("overlap").cast("long").alias("overlaps"), F.sum(skip.cast("long")).alias("skippable"),
+        F.min_by(span, place).alias("first_range"), F.max_by(span, place).alias("last_range"),
+    )
     state = F.when(F.col("overlaps") == 0, "SORTED").when(F.col("overlaps") == F.col("n_groups") - 1, "UNSORTED").otherwise("PARTIAL")
     return out.withColumn("state", state)
 
 
+# The edges of the report's histograms.
 ORDER_EDGES = [0, 5, 10, 15, 20, 25, 30, 50, 100]
 ITEM_EDGES = [0, 1, 2, 3, 4, 5, 6, 7, 8]
 

@@ -1,0 +1,7 @@
+"""Tables and sources. The Python source runs in workers and is shipped by value, so executors need no copy of this package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "file string, row_group int, group_rows bigint, column_name string, compressed bigint, uncompressed bigint, min_value string, max_value string"
+SCHEMA = """file string, file_bytes bigint, row_group int, group_rows bigint, column_name string, compressed bigint, uncompressed bigint,
+min_value string, max_value string, min_number double, max_number double"""
+
+
+def as_number(value) -> float | None:
+    """A number, date or time in the order of its kind; None for others."""
+    if isinstance(value, dt.datetime):
+        return value.replace(tzinfo=value.tzinfo or dt.timezone.utc).timestamp()
+    if isinstance(value, dt.date):
+        return float(value.toordinal())
+    return float(value) if isinstance(value, (int, float)) else None
 
 
 class Footers(DataSource):
@@ -35,14 +46,15 @@ class FooterReader(DataSourceReader):
 
         fs, path = pafs.FileSystem.from_uri(partition.value)
         with fs.open_input_file(path) as f:
-            meta = pq.ParquetFile(f).metadata
+            size, meta = f.size(), pq.ParquetFile(f).metadata
             for g in range(meta.num_row_groups):
                 group = meta.row_group(g)
                 for c in range(group.num_columns):
                     col = group.column(c)
                     s = col.statistics
-                    low, high = (str(s.min), str(s.max)) if s is not None and s.has_min_max else (None, None)
-                    yield path.rsplit("/", 1)[-1], g, group.num_rows, col.path_in_schema, col.total_compressed_size, col.total_uncompressed_size, low, high
+                    low, high = (s.min, s.max) if s is not None and s.has_min_max else (None, None)
+                    text = [None if x is None else str(x) for x in (low, high)]
+                    yield path.rsplit("/", 1)[-1], size, g, group.num_rows, col.path_in_schema, col.total_compressed_size, col.total_uncompressed_size, *text, as_number(low), as_number(high)
 
 
 def footers(spark: SparkSession, path: str) -> DataFrame:
