@@ -83,6 +83,31 @@ def test_near_duplicates_find_chains(spark):
     assert {r.doc_id: r.component_id for r in got} == label
 
 
+@pytest.mark.parametrize("long_set", [near_dup.LONG_SET, 100])
+def test_near_duplicates_in_a_large_group_near_the_threshold(spark, monkeypatch, long_set):
+    """Variants of one text of which most pairs are just below the threshold, and some chains of them above."""
+    monkeypatch.setattr(near_dup, "LONG_SET", long_set)
+    monkeypatch.setattr(near_dup, "TILE", 16)
+    rng = np.random.default_rng(4)
+    base_words, rows = [f"b{i}" for i in range(150)], []
+    for i in range(90):
+        words = list(base_words)
+        for p in rng.choice(150, 3 + i % 2, replace=False):
+            words[p] = f"n{i}_{p}"
+        rows.append((i, " ".join(words), "en", "a"))
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs(spark, rows), percent=80).collect()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t, _, _ in rows for w in [t.split()]}
+    label, links = {i: i for i in sets}, 0
+    for x in sets:
+        for y in sets:
+            both = len(sets[x] & sets[y])
+            if x < y and 100 * both >= 80 * (len(sets[x]) + len(sets[y]) - both):
+                links += 1
+                lo, hi = sorted((label[x], label[y]))
+                label = {k: lo if v == hi else v for k, v in label.items()}
+    assert got == label and links < 90 * 89 / 4
+
+
 def test_near_duplicates_at_a_lower_threshold(spark):
     """Bands for 0.85 miss this pair, which is alike to 0.8 exactly (16 of 20 shingles)."""
     words = [f"s12571w{i}" for i in range(22)]

@@ -11,7 +11,9 @@
    in square tiles of bounded size that are spread over tasks: first each member with its likeliest partner, which joins
    most of what belongs together, and then in full, so that no link is lost. Here the sequence of batches goes on four
    times as far, over signatures of one byte a hash; chance matches of bytes can only keep a pair. A pair that meets in
-   several buckets is told in one. Survivors are verified, and components are found again over all links.
+   several buckets is told in one. Each tile's survivors are listed by member and verified together, in the tile: a large
+   group of documents just below the threshold has many of them, and no row is made for a pair but for a link that joins
+   two components. Components are found again over all links.
 
 Sets whose sizes alone keep their similarity below the threshold are no candidates. Every step's tables go as soon as the
 next step is stored, so the disk holds a step or two and not the whole run.
@@ -36,6 +38,8 @@ BATCH = 36
 FURTHER = 4 * HASHES
 MISS = 1e-6
 TILE = 512
+#: Members with more shingles than this are verified pair by pair, so that the sets of a tile fit in memory.
+LONG_SET = 8192
 #: A class that holds more than one row in so many is handed to all tasks instead of being shuffled with its copies.
 COMMON = 10_000
 
@@ -166,10 +170,16 @@ def alike(one: np.ndarray, sig: np.ndarray, others: np.ndarray, need: dict[int,
     return others
 
 
+TILE_KEY = ["key", "kind", "i", "j"]
+LATE = "key long, kind int, i int, j int, id long, comp long, others binary, other long"
+
+
 def prune_tile(need, likeliest: bool, bands: int, percent: int):
     def run(table: pa.Table) -> pa.Table:
-        """Pairs of a tile between the two sides (or within the one), of different components, but for those that meet
-        in an earlier band too; if likeliest, only the one with the most matches for each member of the first side."""
+        """What survives in a tile of the pairs between the two sides (or within the one), of different components, but for
+        those that meet in an earlier band too; if likeliest, only the one with the most matches for each member of the
+        first side. A row for each member of such a pair, with the ids of those it is to be compared with; and a row for
+        each pair with a long member (other)."""
         ids, comp, side, n = (table.column(c).to_numpy() for c in ("id", "comp", "side", "n"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "u1").reshape(-1, FURTHER)
         keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.int64).reshape(-1, bands)
@@ -177,7 +187,8 @@ def prune_tile(need, likeliest: bool, bands: int, percent: int):
         own = keys == table.column("key").to_numpy()[:, None]
         band = np.where(own.any(axis=1), own.argmax(axis=1), 0)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out_x, out_y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        others_of: dict[int, bytes | None] = {}
+        pairs = []
         for i in left:
             others = right if len(right) else left if likeliest else left[left > i]
             others = others[(comp[others] != comp[i]) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
@@ -185,9 +196,52 @@ def prune_tile(need, likeliest: bool, bands: int, percent: int):
             good = good[~((keys[good] == keys[i]) & (np.arange(bands) < np.minimum(band[good], band[i])[:, None])).any(axis=1)]
             if likeliest and len(good) > 1:
                 good = good[[(sig[good] == sig[i]).sum(axis=1).argmax()]]
-            out_x.append(np.minimum(ids[good], ids[i]))
-            out_y.append(np.maximum(ids[good], ids[i]))
-        return pa.table({"x": np.concatenate(out_x), "y": np.concatenate(out_y)})
+            long = (n[good] > LONG_SET) | (n[i] > LONG_SET)
+            pairs += [(i, g) for g in good[long]]
+            if not long.all():
+                others_of[i] = ids[good[~long]].astype("<i8").tobytes()
+                others_of.update((g, None) for g in good[~long].tolist() if g not in others_of)
+        rows = np.array([*others_of, *(i for i, _ in pairs)], np.int64)
+        where = [table.column(c)[:1].combine_chunks().take(pa.array(np.zeros(len(rows), np.int64))) for c in TILE_KEY]
+        others = pa.array([*others_of.values(), *(None for _ in pairs)], pa.binary())
+        other = pa.array([*(None for _ in others_of), *(int(ids[g]) for _, g in pairs)], pa.int64())
+        return pa.table([*where, pa.array(ids[rows]), pa.array(comp[rows]), others, other], names=[*TILE_KEY, "id", "comp", "others", "other"])
+
+    return run
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def verify_tile(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Links among the members of a tile (id, comp, others, shingles) that join what is not joined yet."""
+        sets: dict[int, set[bytes]] = {}
+        others: dict[int, set[int]] = {}
+        comp: dict[int, int] = {}
+        for i, c, o, s in zip(*(table.column(c).to_pylist() for c in ("id", "comp", "others", "shingles"))):
+            comp[i] = c
+            sets.setdefault(i, set()).add(s)
+            if o is not None:
+                others.setdefault(i, set()).update(np.frombuffer(o, "<i8").tolist())
+        arrays = {i: [np.frombuffer(s, U) for s in x] for i, x in sets.items()}
+        parent = {c: c for c in comp.values()}
+
+        def root(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        out = []
+        for x in sorted(others):
+            for y in sorted(others[x]):
+                a, b = root(comp[x]), root(comp[y])
+                if a != b and any(similar(s, t, percent) for s in arrays[x] for t in arrays[y]):
+                    parent[a] = b
+                    out.append((min(x, y), max(x, y)))
+        return pa.table({"x": pa.array([x for x, _ in out], pa.int64()), "y": pa.array([y for _, y in out], pa.int64())})
 
     return run
 
@@ -207,9 +261,7 @@ def exact(percent: int):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("set_x").to_pylist(), batch.column("set_y").to_pylist()):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+                keep.append(similar(np.frombuffer(x, U), np.frombuffer(y, U), percent))
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -225,6 +277,17 @@ def verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFra
     return out
 
 
+def verified_tiles(docs: DataFrame, late: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links among what prune_tile has left (LATE), enough to join all that they join."""
+    members = late.where("other is null")
+    ids = members.select(F.col("id").alias("doc_id")).distinct()
+    sets = stored(docs.join(small(ids), "doc_id", "left_semi").mapInArrow(set_rows(k), "id long, shingles binary"), "sets")
+    out = stored(members.join(sets, "id").groupBy(*TILE_KEY).applyInArrow(verify_tile(percent), "x long, y long").distinct(), "links")
+    drop(sets)
+    pairs = late.where("other is not null").select(F.least("id", "other").alias("x"), F.greatest("id", "other").alias("y")).distinct()
+    return out.union(verified(docs, pairs, k, percent)) if pairs.limit(1).count() else out
+
+
 def comparable(n: Column, m: Column, percent: int) -> Column:
     """Whether sets of n and m shingles can be alike at all."""
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
@@ -332,12 +395,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if met is None:  # later tiles have no other members
             met = reps.join(small(tiles.select(F.col("id").alias("doc_id")).distinct()), "doc_id", "left_semi").mapInArrow(byte_signatures(k, per_band), "id long, n long, sig binary, keys binary")
             met = stored(met.where("sig is not null").dropDuplicates(["id", "sig"]), "met")
-        late = tiles.join(met, "id").groupBy("key", "kind", "i", "j").applyInArrow(prune_tile(further, likeliest, HASHES // per_band, percent), "x long, y long")
-        late = stored(late.distinct(), "apart")
+        late = stored(tiles.join(met, "id").groupBy(*TILE_KEY).applyInArrow(prune_tile(further, likeliest, HASHES // per_band, percent), LATE), "apart")
         drop(tiles)
         if late.limit(1).count():
-            links = stored(links.union(verified(reps, late, k, percent)), "links")
+            links = stored(links.union(verified_tiles(reps, late, k, percent)), "links")
             comp = components(links)
+        drop(late)
     drop(shared, *([met] if met is not None else []))
     mapped = stored(members.join(comp, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component_id")), "mapped")
     # A doc_id of several classes joins them all.
