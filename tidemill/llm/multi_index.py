@@ -30,7 +30,7 @@ from .base import drop, parts, stored
 #: The sample that codebooks are fitted on: at most about so many vectors, and so many components in all.
 SAMPLE = 20_000
 SAMPLE_VALUES = 4_000_000
-BLOCK = 2048
+BLOCK = 8192
 #: Centroids of each half: about sqrt(2 n), for a few cells a vector on small tables, and at most so many.
 MOST_CENTROIDS = 64
 TRIALS = 128
