@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 #: A side of a join is broadcast only when it was counted to have at most so many rows, and so many bytes in all.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 << 20
+#: Rows of a narrow table that a task may write by itself.
+ROWS_A_TASK = 250_000
 #: While a table is stored, its shuffles go when it is done (it is read from its files from then on), and batches for
 #: Python stay small, so that a worker's memory does not depend on the width of the rows.
 WHILE_STORING = {
@@ -76,9 +78,12 @@ def storing(spark: SparkSession):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage, and survives lost executors."""
+def stored(df: DataFrame, what: str, most: int | None = None) -> DataFrame:
+    """df written to the shared folder and read again: cuts lineage, and survives lost executors. A narrow table that is
+    known to have at most ``most`` rows is written by as few tasks as that takes, but by all cores."""
     spark = df.sparkSession
+    if most is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-most // ROWS_A_TASK)))
     path = scratch(spark, what)
     with storing(spark):
         df.write.option("compression", "zstd").parquet(f"{path}/t")

@@ -307,14 +307,15 @@ def components(links: DataFrame) -> DataFrame:
             out = joined.select(F.col("y").alias("x"), F.col("m").alias("y")).union(least.select("x", F.col("m").alias("y")))
         return out.where(F.col("x") != F.col("y")).distinct()
 
-    edges = stored(links.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x != y").distinct(), "edges")
+    edges = stored(links.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x != y").distinct(), "edges", links.count())
     before = None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break
         before, old = now, edges
-        edges = stored(step(step(edges, True), False), "edges")
+        # A large-star step makes no more edges than it gets, and a small-star step at most twice as many.
+        edges = stored(step(step(edges, True), False), "edges", 2 * now[0])
         drop(old)
     pairs = edges.select(F.col("x").alias("id"), F.col("y").alias("component"))
     return pairs.union(edges.select(F.col("y").alias("id"), F.col("y").alias("component")).distinct())
